@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, quality, secrets, url_reputation
-from quern.llm.common import table
+from quern.llm import mixing, packing, quality, secrets, token_store, url_reputation
+from quern.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,18 @@ def op1_mix_sources(spark, folder):
     return planned.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query("op2_pack_sequences")
+def op2_pack_sequences(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, _tokenizer()).drop("loss_tokens")
+
+
 def _spans_sql(rank: int, rule: secrets.Rule) -> str:
     pattern = rf"(?s)(.*?)({rule.pattern}|\z)".replace("'", "''")
     value = 3 if rule.value else 2
@@ -109,6 +121,13 @@ def op4_quality_rules(spark, folder):
     )
 
 
+@_query("op6_token_store")
+def op6_token_store(spark, folder):
+    path = shared_dir(spark)
+    token_store.write_store(table(spark, folder, "documents").select("doc_id", "text"), path, _tokenizer())
+    return token_store.read_digests(spark, path)
+
+
 def _shrink_sql(name: str, units: str, parent: str) -> str:
     return f"""
 {name}_k AS (SELECT (1 - rho) / rho AS kappa FROM (SELECT greatest(0.001, least(0.5, coalesce(CASE WHEN room > k THEN (s - k + 1) / (room - k + 1) END, 0.05)))::double AS rho FROM (
