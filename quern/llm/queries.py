@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, packing, quality, secrets, token_store, url_reputation
+from quern.llm import mixing, packing, quality, secrets, simhash, token_store, url_reputation
 from quern.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,12 @@ def op6_token_store(spark, folder):
     return token_store.read_digests(spark, path)
 
 
+@_query("op8_simhash_golay")
+def op8_simhash_golay(spark, folder):
+    found = simhash.link_64(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def _shrink_sql(name: str, units: str, parent: str) -> str:
     return f"""
 {name}_k AS (SELECT (1 - rho) / rho AS kappa FROM (SELECT greatest(0.001, least(0.5, coalesce(CASE WHEN room > k THEN (s - k + 1) / (room - k + 1) END, 0.05)))::double AS rho FROM (
