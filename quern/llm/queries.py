@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, packing, quality, secrets, simhash, token_store, url_reputation
+from quern.llm import imatch, langid, mixing, packing, pii, quality, secrets, simhash, token_store, url_reputation
 from quern.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +53,7 @@ def op1_mix_sources(spark, folder):
     return planned.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -62,7 +62,7 @@ def _tokenizer() -> str:
 @_query("op2_pack_sequences")
 def op2_pack_sequences(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return packing.pack(docs, _tokenizer()).drop("loss_tokens")
+    return packing.pack(docs, tokenizer_path()).drop("loss_tokens")
 
 
 def _spans_sql(rank: int, rule: secrets.Rule) -> str:
@@ -121,19 +121,39 @@ def op4_quality_rules(spark, folder):
     )
 
 
+@_query("op5_personal_data")
+def op5_personal_data(spark, folder):
+    return pii.digest(pii.detect(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 @_query("op6_token_store")
 def op6_token_store(spark, folder):
     path = shared_dir(spark)
-    token_store.write_store(table(spark, folder, "documents").select("doc_id", "text"), path, _tokenizer())
+    token_store.write_store(table(spark, folder, "documents").select("doc_id", "text"), path, tokenizer_path())
     return token_store.read_digests(spark, path)
 
 
+@_query("op7_imatch")
+def op7_imatch(spark, folder):
+    return imatch.compare(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @_query("op8_simhash_golay")
 def op8_simhash_golay(spark, folder):
     found = simhash.link_64(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query("op9_language_spans")
+def op9_language_spans(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 4 == 2, F.lit(False))
+    labelled = docs.where(~held_out & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "text", "lang")
+    found = langid.label(docs.select("doc_id", "text"), langid.fit(labelled), with_spans=False)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def _shrink_sql(name: str, units: str, parent: str) -> str:
     return f"""
 {name}_k AS (SELECT (1 - rho) / rho AS kappa FROM (SELECT greatest(0.001, least(0.5, coalesce(CASE WHEN room > k THEN (s - k + 1) / (room - k + 1) END, 0.05)))::double AS rho FROM (
