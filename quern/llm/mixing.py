@@ -48,8 +48,9 @@ def source_levels(sizes: DataFrame, weights: Sequence[float], share: float, epoc
         F.coalesce(F.sum(F.lit(float(epochs)) * F.col("source_size")).over(before), F.lit(0.0)).alias("spent"),
         F.sum("weight").over(onward).alias("sending"),
     ).withColumn("reached", F.col("spent") + F.col("dry_at") * F.col("sending") >= F.col("budget"))
-    level = F.min(F.when(F.col("reached"), (F.col("budget") - F.col("spent")) / F.col("sending"))).over(everything)
-    return stretches.withColumn("level", level).select(
+    # The first stretch that reaches the budget, not the least level of all that do.
+    first = F.min(F.when(F.col("reached"), F.struct("dry_at", "no_src", "src", ((F.col("budget") - F.col("spent")) / F.col("sending")).alias("level")))).over(everything)
+    return stretches.withColumn("level", first["level"]).select(
         "src", "no_src", "source_size", "weight",
         F.least(F.coalesce(F.col("weight") * F.col("level"), F.lit(float("inf"))), F.lit(float(epochs)) * F.col("source_size")).alias("target"),
     )

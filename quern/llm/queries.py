@@ -35,7 +35,7 @@ r AS (SELECT *, 2 * source_size / weight AS dry FROM w),
 p AS (SELECT *, 1.5::double * sum(source_size) OVER () AS budget,
     coalesce(sum(2.0 * source_size) OVER (ORDER BY dry, no_src, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double AS spent,
     sum(weight) OVER (ORDER BY dry, no_src, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sending FROM r),
-l AS (SELECT min((budget - spent) / sending) AS level FROM p WHERE spent + dry * sending >= budget),
+l AS (SELECT (budget - spent) / sending AS level FROM p WHERE spent + dry * sending >= budget ORDER BY dry, no_src, src LIMIT 1),
 t AS (SELECT src, no_src, source_size, least(weight * level, 2.0::double * source_size) AS target FROM p, l),
 q AS (SELECT d.*, source_size, target,
     sum(size) OVER (PARTITION BY src, no_src ORDER BY spread, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead
