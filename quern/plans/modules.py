@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("labels",)
+NAMES = ("labels", "etl")
 
 
 def load() -> None:
