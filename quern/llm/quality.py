@@ -5,8 +5,7 @@ Policies are versioned masks: applying one, or asking what another would have ke
 ledger and never touches a text again.
 
 Null texts count as texts without words. Lines are parted by ``\\n``; a repeated line counts if it has a word.
-Three-word windows are compared by the 64-bit hash of their words, so two different windows of one text are taken
-for the same with a chance of about n**2 / 2**65.
+Empty tables give empty ledgers, repeated rows a ledger row each.
 """
 
 from __future__ import annotations
@@ -37,51 +36,50 @@ class Policy:
 POLICIES = {p.version: p for p in (Policy("base", BASE_MASK), Policy("v1", (1 << 6) - 1))}
 
 
-def _repeat_positions(hashes: Column) -> Column:
-    """Sorted start positions of windows that occur twice or more: a sort, then a look at both neighbours.
+def _repeated(windows: Column) -> Column:
+    """The distinct windows that occur twice or more: in the sorted array they stand beside an equal one.
 
-    Window and position travel as one struct, so equal windows meet in the sorted array.
+    The two shifted copies are compared element by element, without lookups by position.
     """
-    runs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # The run boundaries follow from shifted copies of the array, without any lookup by position.
-    nothing = F.lit(None).cast("bigint")
-    before = F.concat(F.array(nothing), F.transform(runs, lambda r: r["h"]))
-    after = F.concat(F.slice(F.transform(runs, lambda r: r["h"]), 2, F.greatest(F.size(runs), F.lit(1))), F.array(nothing))
-    zipped = F.arrays_zip(runs.alias("r"), before.alias("b"), after.alias("a"))
-    twice = F.filter(zipped, lambda z: z["r"].isNotNull() & ((z["r"]["h"] == z["b"]) | (z["r"]["h"] == z["a"])))
-    return F.array_sort(F.transform(twice, lambda z: z["r"]["i"]))
+    ordered = F.sort_array(windows)
+    same = F.zip_with(F.slice(ordered, 2, F.size(windows)), F.slice(ordered, 1, F.size(windows) - 1), lambda a, b: F.when(a == b, a))
+    return F.array_distinct(F.array_compact(same))
+
+
+def _positions(windows: Column, repeated: Column) -> Column:
+    """Ascending positions of the windows that are ``repeated``."""
+    few = F.array_compact(F.transform(windows, lambda w, i: F.when(F.array_contains(repeated, w), i)))
+    # With many repeated windows a lookup each would be quadratic: sort (window, position) instead.
+    runs = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    first, second = F.slice(runs, 1, F.size(windows) - 1), F.slice(runs, 2, F.size(windows))
+    pairs = F.zip_with(first, second, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
+    many = F.array_sort(F.array_distinct(F.flatten(F.array_compact(pairs))))
+    return F.when(F.size(repeated) == 0, F.array().cast("array<int>")).when(F.size(repeated) <= 64, few).otherwise(many)
 
 
 def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One pass over the texts: keep..., n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_letters.
 
-    Explodes of one-element arrays keep the optimizer from computing the word and hash arrays once per use.
+    Explodes of one-element arrays keep the optimizer from computing an array once per use. Three-word windows come
+    out of one regular expression over the text with single spaces: a look ahead takes three words, the match one.
     """
-    text = text_or_empty(docs)
     once = lambda c, name: F.explode(F.array(c)).alias(name)
-    words = F.filter(F.split(F.col("t"), SPACE), lambda w: w != "")
-    step = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), text.alias("t"))
-    step = step.select("doc", "t", once(words, "w"))
-    # Hashes of words, then of three in a row: the second and third are the same array shifted.
-    step = step.select("doc", "t", F.size("w").alias("n"), once(F.transform("w", lambda w: F.xxhash64(w)), "wh"))
-    triple = F.transform(
-        F.arrays_zip(F.col("wh").alias("x"), F.slice(F.col("wh"), 2, F.greatest(F.col("n"), F.lit(1))).alias("y"), F.slice(F.col("wh"), 3, F.greatest(F.col("n"), F.lit(1))).alias("z")),
-        lambda q: F.xxhash64(q["x"], q["y"], q["z"]),
-    )
-    step = step.select("doc", "t", "n", once(F.slice(triple, 1, F.greatest(F.col("n") - 2, F.lit(0))), "hs"))
-    distinct = F.size(F.array_distinct("hs"))
-    step = step.select("doc", "t", "n", once(F.when(distinct < F.size("hs"), _repeat_positions(F.col("hs"))).otherwise(F.array().cast("array<int>")), "at"))
+    step = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), text_or_empty(docs).alias("t"))
+    step = step.select("doc", "t", once(F.btrim(F.regexp_replace("t", SPACE, " "), F.lit(" ")), "s"))
+    windows = F.regexp_extract_all(F.col("s"), F.lit("(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++ "), 1)
+    step = step.select("doc", "t", F.length("s").alias("chars"), F.length(F.replace("s", F.lit(" "), F.lit(""))).alias("word_chars"), once(windows, "w"))
+    step = step.select("doc", "t", "chars", "word_chars", "w", once(F.when(F.size(F.array_distinct("w")) < F.size("w"), _repeated(F.col("w"))).otherwise(F.array().cast("array<string>")), "again"))
+    step = step.select("doc", "t", "chars", "word_chars", once(_positions(F.col("w"), F.col("again")), "at"))
     # Each window covers three words, fewer where the next one begins earlier.
-    nexts = F.concat(F.slice(F.col("at"), 2, F.greatest(F.size("at"), F.lit(1))), F.array(F.lit(None).cast("int")))
-    covered = F.aggregate(F.zip_with("at", nexts, lambda a, b: F.when(a.isNull(), 0).otherwise(F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))), F.lit(0), lambda s, x: s + x)
+    gaps = F.zip_with(F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(3)))
+    covered = F.when(F.size("at") > 0, F.aggregate(gaps, F.lit(3), lambda s, x: s + x)).otherwise(0)
     lines = F.filter(F.split(F.col("t"), "\n"), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
-    step = step.select("doc", "t", "n", covered.alias("c"), once(lines, "l"))
-    length = F.length("t")
-    without = lambda pattern: length - F.length(F.regexp_replace("t", pattern, ""))
+    step = step.select("doc", "t", "chars", "word_chars", covered.alias("c"), once(lines, "l"))
+    without = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
     return step.select(
         "doc.*",
-        F.col("n").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("t", SPACE, "")).cast("bigint").alias("word_chars"),
+        F.when(F.col("chars") > 0, F.col("chars") - F.col("word_chars") + 1).otherwise(0).cast("bigint").alias("n_words"),
+        F.col("word_chars").cast("bigint").alias("word_chars"),
         without(r"[#*$%&|<>]+").cast("bigint").alias("n_symbols"),
         F.size("l").cast("bigint").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
