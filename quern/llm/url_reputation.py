@@ -71,23 +71,22 @@ def _strength(units: DataFrame) -> DataFrame:
     room = F.col("all") - F.col("q")
     rho = F.when(room > 0, (F.col("s") - F.col("k") + 1) / (room - F.col("k") + 1))
     bounded = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.when(room > F.col("k"), rho), F.lit(0.05))))
-    return sums.select(F.lit(1).alias("one"), ((1 - bounded) / bounded).alias("kappa"))
+    return sums.select(((1 - bounded) / bounded).alias("kappa"))
 
 
 def _shrink(units: DataFrame, parent_mean: str) -> DataFrame:
     """Adds alpha, beta of each unit's posterior and its mean, shrunk towards ``parent_mean``."""
     kappa = _strength(units.withColumn("mean", F.col(parent_mean)))
-    with_kappa = units.withColumn("one", F.lit(1)).join(F.broadcast(kappa), "one").drop("one")
     alpha = F.col("bad") + F.col("kappa") * F.col(parent_mean)
     beta = F.col("n") - F.col("bad") + F.col("kappa") * (1 - F.col(parent_mean))
-    return with_kappa.select(*units.columns, alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("mean"))
+    return units.withColumn("kappa", kappa.scalar()).select(*units.columns, alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("mean"))
 
 
 def reputations(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """(host, n, bad, mean, lower, upper) for every host of ``hosts``.
 
     ``hosts`` has a column host, ``outcomes`` columns host and bad (0 or 1; nulls are ignored). Everything after the
-    first aggregation has one row a host at most; the broadcast row of ``_strength`` is a single one.
+    first aggregation has one row a host at most; the corpus mean and prior weights are scalar subqueries.
     """
     seen = outcomes.where(outcomes["bad"].isNotNull()).groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
     suffix, domain = domain_parts(F.col("host"))
@@ -95,8 +94,8 @@ def reputations(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> Data
         hosts.select("host").distinct().join(seen, "host", "left")
         .select("host", suffix.alias("suffix"), domain.alias("domain"), F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("bad", F.lit(0.0)).alias("bad"))
     )
-    total = units.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + PRIOR_RATE * PRIOR_WEIGHT) / (F.coalesce(F.sum("n"), F.lit(0.0)) + PRIOR_WEIGHT)).alias("corpus_mean")).withColumn("one", F.lit(1))
-    suffixes = units.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
+    total = units.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + PRIOR_RATE * PRIOR_WEIGHT) / (F.coalesce(F.sum("n"), F.lit(0.0)) + PRIOR_WEIGHT)).alias("corpus_mean"))
+    suffixes = units.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("corpus_mean", total.scalar())
     suffixes = _shrink(suffixes, "corpus_mean").select("suffix", F.col("mean").alias("suffix_mean"))
     domains = units.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
     domains = _shrink(domains, "suffix_mean").select("suffix", "domain", F.col("mean").alias("domain_mean"))
