@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("labels", "etl")
+NAMES = ("labels", "etl", "analytics", "sequences")
 
 
 def load() -> None:
