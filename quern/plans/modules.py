@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("labels", "etl", "analytics", "sequences")
+NAMES = ("labels", "etl", "analytics", "sequences", "similarity", "supervision", "texts")
 
 
 def load() -> None:
