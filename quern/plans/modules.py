@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("labels", "etl", "analytics", "sequences", "similarity", "supervision", "texts")
+NAMES = ("labels", "etl", "analytics", "sequences", "similarity", "supervision", "texts", "flows")
 
 
 def load() -> None:
