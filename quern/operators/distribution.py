@@ -24,16 +24,16 @@ def vocabulary_profile(rows: DataFrame, by: list[str], label: str) -> DataFrame:
         F.max("total").cast("bigint").alias("n_rows"),
         F.max("uniq").alias("n_labels"),
         F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).cast("bigint").alias("n_singletons"),
-        (-F.sum(share * F.log2(share))).alias("h"),
+        (-F.sum(share * F.log2(share))).alias("_h"),
         (2 * F.sum(F.col("i") * F.col("n")) / (F.max("uniq") * F.max("total"))
-         - (F.max("uniq") + F.lit(1.0)) / F.max("uniq")).alias("g"),
+         - (F.max("uniq") + F.lit(1.0)) / F.max("uniq")).alias("_g"),
     )
     return out.select(
         *by, "n_rows", "n_labels", "n_singletons",
-        F.round("h", 6).alias("entropy"),
-        F.round(F.when(F.col("n_labels") > 1, F.col("h") / F.log2("n_labels")).otherwise(F.lit(0.0)), 6).alias("entropy_norm"),
-        F.round(F.pow(F.lit(2.0), F.col("h")), 4).alias("perplexity"),
-        F.round("g", 6).alias("gini"),
+        F.round("_h", 6).alias("entropy"),
+        F.round(F.when(F.col("n_labels") > 1, F.col("_h") / F.log2("n_labels")).otherwise(F.lit(0.0)), 6).alias("entropy_norm"),
+        F.round(F.pow(F.lit(2.0), F.col("_h")), 4).alias("perplexity"),
+        F.round("_g", 6).alias("gini"),
     )
 
 

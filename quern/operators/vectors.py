@@ -55,7 +55,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "q_id", r
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
         held = part.select(F.col(query_id).cast("bigint"), vector).toArrow()
         ids = held.column(0).to_numpy()
-        matrix = np.array(held.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+        matrix = np.array(held.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), width)
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((ids, matrix))
 
