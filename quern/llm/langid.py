@@ -197,7 +197,7 @@ def _label(group: list[str | None], scorer: Scorer, penalty: float, with_spans:
     if len(scorer.scores) > CACHE_ENTRIES:
         scorer.forget()
     texts = [scorer.of(t.split()) if t and model.languages else np.zeros(0, np.int64) for t in group]
-    scores, sizes = np.array(scorer.scores).reshape(-1, len(model.languages)), np.array(scorer.sizes)
+    scores, sizes = np.array(scorer.scores, dtype=np.float32).reshape(len(scorer.scores), len(model.languages)), np.array(scorer.sizes)
     out = []
     for words, labels in zip(texts, viterbi(texts, scores, penalty)):
         weight = sizes[words] if len(words) else np.zeros(0)
