@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("labels", "etl", "analytics", "sequences", "similarity", "supervision", "texts", "flows")
+NAMES = ("labels", "etl", "analytics", "sequences", "similarity", "supervision", "texts", "flows", "further")
 
 
 def load() -> None:
