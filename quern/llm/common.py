@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame, computed and written below spark.checkpoint.dir; its lineage ends there."""
+    if frame.sparkSession.sparkContext.getCheckpointDir() is None:
+        shared_dir(frame.sparkSession)
+    return frame.checkpoint()
+
+
 def materialize(frame: DataFrame, path: str) -> DataFrame:
     """Write a frame as Parquet and read it back: later steps survive lost executors."""
     frame.write.mode("overwrite").parquet(path)

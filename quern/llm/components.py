@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import checkpointed
+
 
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -18,7 +20,7 @@ def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
     is one star; that takes a number of rounds logarithmic in the longest path. A step sends as many rows as there
     are edges, whatever a node's degree, and every round is checkpointed.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = _mark(now)
     for _ in range(rounds):
         if mark[0] == 0:
@@ -29,7 +31,7 @@ def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Each (a, b) of the large step has b < a.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = small.checkpoint()
+        now = checkpointed(small)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import golay
-from quern.llm.common import fresh, text_or_empty
+from quern.llm.common import checkpointed, fresh, text_or_empty
 from quern.llm.components import stars
 
 #: Fixed value: seed of the shingle hash.
@@ -209,8 +209,8 @@ def link_64(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of all documents; fingerprints within ``most`` (up to 3) bits are linked."""
     if not 0 <= most <= 3:
         raise ValueError("the tables find pairs within 3 bits")
-    found = fingerprints(docs, shingle).checkpoint()
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumnRenamed("fp", "node").checkpoint()
+    found = checkpointed(fingerprints(docs, shingle))
+    nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumnRenamed("fp", "node"))
     edges = link(nodes.select("node", F.array("node").alias("code")), keys_64, slice(0, 1), most)
     least = classes(nodes, edges)
     return found.join(least, found["fp"] == least["node"]).select("doc_id", "fp", F.col("least").alias("component_id"))
@@ -260,8 +260,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     A group keeps its least doc_id (nulls last), of rows with that id the one with the least ``same``.
     """
-    found = sketches(docs, shingle).checkpoint()
-    nodes = found.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("id"), F.first("code").alias("code")).checkpoint()
+    found = checkpointed(sketches(docs, shingle))
+    nodes = checkpointed(found.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("id"), F.first("code").alias("code")))
     edges = link(nodes, keys_wide, slice(PAIRS, PAIRS + 4), most_bits(similarity))
     kept = classes(nodes.select("node", "id"), edges).select(F.col("least.same").alias("same")).distinct()
     return kept
