@@ -11,10 +11,10 @@ import os
 import re
 from array import array
 
-#: Entries a cache holds before it starts anew: a bound on a worker's memory.
-CACHE_ENTRIES = 400_000
-#: White space next to a space: such a text is cut by the slower general pattern.
-_CROWDED = re.compile(r" \s|\s ")
+#: Entries a cache holds before it starts anew: a bound on a worker's memory, some 200 bytes each.
+CACHE_ENTRIES = 800_000
+#: Longer units are encoded but not remembered.
+LONGEST_KEY = 64
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters, then marks other than the apostrophe: two pre-tokens. The letters are those of Latin-1.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -27,6 +27,44 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Crowded(Exception):
+    """White space stands beside a space, so cutting at every space would be wrong."""
+
+
+class _Cache(dict):
+    """Ids of a lead (a space, or nothing) and the key, encoded when first asked for.
+
+    Looking up is a plain dictionary access in C; only a miss runs Python.
+    """
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= self.encoder.entries:
+            self.clear()
+        if unit.isascii() and unit.isalpha():
+            ids = self.encoder.letters(self.lead, unit)
+        else:
+            ids = self._mixed(unit)
+        if len(unit) <= LONGEST_KEY:
+            self[unit] = ids
+        return ids
+
+    def _mixed(self, unit: str) -> bytes:
+        if not unit or unit[0].isspace() or unit[-1].isspace():
+            raise _Crowded
+        word = _WORD.fullmatch(unit)
+        if word:
+            return self[word[1]] + self.encoder.plain[word[2]] if word[2] else self.encoder.letters(self.lead, unit)
+        lines = unit.split("\n")
+        if len(lines) > 1 and all(lines) and not any(c.isspace() for line in lines for c in line):
+            # A lone line feed between other characters is a pre-token, and the next line starts another.
+            return self[lines[0]] + b"".join(self.encoder.feed + self.encoder.plain[line] for line in lines[1:])
+        return self.encoder.whole(self.lead + unit)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -36,64 +74,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.entries = entries
+        # The word cache stands before the model, whose own cache would only cost time.
+        getattr(self.model, "_resize_cache", lambda size: None)(0)
         self.alphabet = _byte_alphabet()
-        self.spaced: dict[str, bytes] = {}  # of " " + key
-        self.plain: dict[str, bytes] = {}
+        self.space = self.alphabet[32]
+        self.feed = self.whole("\n")
+        self.entries = entries
+        self.spaced, self.plain = _Cache(self, " "), _Cache(self, "")
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _keep(self, cache: dict[str, bytes], key: str, ids: bytes) -> bytes:
-        if len(cache) >= self.entries:
-            cache.clear()
-        cache[key] = ids
-        return ids
-
-    def _plain(self, unit: str) -> bytes:
-        ids = self.plain.get(unit)
-        if ids is None:
-            word = _WORD.fullmatch(unit)
-            if word is None:
-                ids = self._whole(unit)
-            elif word[2]:
-                ids = self._plain(word[1]) + self._whole(word[2])
-            else:
-                ids = self._letters(unit)
-            self._keep(self.plain, unit, ids)
-        return ids
-
-    def _spaced(self, unit: str) -> bytes:
-        """Ids of a space and the unit; called where the cache has none."""
-        lines = unit.split("\n")
-        if len(lines) > 1 and all(lines) and not any(c.isspace() for line in lines for c in line):
-            # A lone line feed between other characters is a pre-token, and the next line starts another.
-            ids = (self.spaced.get(lines[0]) or self._spaced(lines[0])) + b"".join(self._plain("\n") + self._plain(line) for line in lines[1:])
-            return self._keep(self.spaced, unit, ids) if len(unit) < 64 else ids
-        word = _WORD.fullmatch(unit)
-        if word is None:
-            ids = self._whole(" " + unit)
-        elif word[2]:
-            ids = (self.spaced.get(word[1]) or self._spaced(word[1])) + self._plain(word[2])
-        else:
-            ids = self._letters(" " + unit)
-        return self._keep(self.spaced, unit, ids) if len(unit) < 64 else ids
+    def letters(self, lead: str, word: str) -> bytes:
+        """A word of letters is one pre-token, which the model takes in the byte alphabet."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(self.space + shown if lead else shown)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        units = _SAFE_CUT.split(text) if _CROWDED.search(text) else text.split(" ")
-        first = self._whole(units[0]) if units[0] else b""
-        rest = units[1:]
-        found = list(map(self.spaced.get, rest))
-        if None in found:
-            get, make = self.spaced.get, self._spaced
-            found = [ids if ids is not None else (get(unit) or make(unit)) for unit, ids in zip(rest, found)]
-        return first + b"".join(found)
+        units = text.split(" ")
+        try:
+            if units[0] and units[0][-1].isspace():
+                raise _Crowded
+            return (self.whole(units[0]) if units[0] else b"") + b"".join(map(self.spaced.__getitem__, units[1:]))
+        except _Crowded:
+            first, *rest = _SAFE_CUT.split(text)
+            return self.whole(first) + b"".join(self._piece(unit) for unit in rest)
+
+    def _piece(self, unit: str) -> bytes:
+        """A unit after a safe cut; white space within or at the end of it is encoded in place."""
+        return self.whole(" " + unit) if any(c.isspace() for c in unit) else self.spaced[unit]
 
 
 _ENCODERS: dict[str, Encoder] = {}
