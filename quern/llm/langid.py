@@ -14,6 +14,8 @@ empty results, repeated rows a row each.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 
 #: n-gram classes, sizes of n-grams, and the least share of a language's letters that makes a script its own.
 CLASSES, SIZES, OWN_SCRIPT = 1 << 16, (1, 2, 3, 4), 0.01
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 500_000
 #: Words of texts that are searched together, a bound on memory.
-GROUP_WORDS = 3_000_000
+GROUP_WORDS = 2_000_000
 #: First code point of each range and its script; ranges end where the next begins.
 SCRIPTS = (
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -34,9 +36,9 @@ SCRIPTS = (
     (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"),
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"),
 )
-_STARTS = np.array([a for a, _ in SCRIPTS])
+_STARTS = [a for a, _ in SCRIPTS]
 SCRIPT_NAMES = tuple(dict.fromkeys(s for _, s in SCRIPTS))
-_SCRIPT_ID = np.array([SCRIPT_NAMES.index(s) for _, s in SCRIPTS])
+_SCRIPT_ID = [SCRIPT_NAMES.index(s) for _, s in SCRIPTS]
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -46,19 +48,31 @@ def letters(token: str) -> str:
 
 def script_of(word: str) -> int:
     """Index of the script of a word's first letter."""
-    return int(_SCRIPT_ID[max(0, int(np.searchsorted(_STARTS, ord(word[0]), side="right")) - 1)])
+    return _SCRIPT_ID[max(0, bisect_right(_STARTS, ord(word[0])) - 1)]
 
 
-def grams(word: str) -> list[int]:
-    """Classes of the n-grams of a word with its borders, and of the word itself."""
-    import xxhash
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, class) of the n-grams of all words with their borders, all sizes at once.
 
-    padded = f"\x02{word}\x03".encode("utf-32-le")
-    n = len(padded) // 4
-    digest = xxhash.xxh32_intdigest
-    found = [digest(padded[4 * i : 4 * (i + k)], k) for k in SIZES for i in range(n - k + 1)]
-    found.append(digest(padded, 99))
-    return [h & (CLASSES - 1) for h in found]
+    A gram's class mixes its code points and size; grams of one size come from shifted copies of the joined words.
+    """
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    number = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # code points from here to the word's end
+    rows, classes = [], []
+    with np.errstate(over="ignore"):
+        mixed = np.zeros(len(points), np.uint64)
+        for size in range(1, max(SIZES) + 1):
+            following = np.zeros(len(points), np.uint64)
+            following[: len(points) - size + 1] = points[size - 1 :]
+            mixed = (mixed ^ following) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+            if size in SIZES:
+                whole = left >= size
+                rows.append(number[whole])
+                classes.append(((mixed[whole] + np.uint64(size)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48))
+    return np.concatenate(rows), np.concatenate(classes).astype(np.int64)
 
 
 @dataclass
@@ -77,11 +91,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             counts, scripts = found.setdefault(lang, (np.zeros(CLASSES, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)))
-            for token in t.as_py().split():
-                word = letters(token)
-                if word:
-                    np.add.at(counts, grams(word), 1)
-                    scripts[script_of(word)] += len(word)
+            uses = Counter(t.as_py().split())
+            words = [(word, n) for token, n in uses.items() if (word := letters(token))]
+            if words:
+                times = np.array([n for _, n in words])
+                row, classes = grams([w for w, _ in words])
+                counts += np.bincount(classes, weights=times[row], minlength=CLASSES).astype(np.int64)
+                for word, n in words:
+                    scripts[script_of(word)] += n * len(word)
     for lang, parts in found.items():
         for kind, values in enumerate(parts):
             used = np.flatnonzero(values)
@@ -116,7 +133,7 @@ def fit(labelled: DataFrame, per_language: int = 400) -> Model:
 
 
 class Scorer:
-    """Scores and letter counts of tokens, remembered up to a bound."""
+    """Scores and letter counts of tokens, remembered up to a bound; new ones are scored many at a time."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -124,33 +141,41 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores: list[np.ndarray] = []
-        self.sizes: list[int] = []
-
-    def _add(self, token: str) -> int:
-        word = letters(token)
-        languages = len(self.model.languages)
-        score = np.zeros(languages, np.float32)
-        if word:
-            able = self.model.scripts[script_of(word)]
-            if able.any():
-                raw = self.model.weights[grams(word)].sum(axis=0)
-                raw = np.where(able, raw, -np.inf)
-                top = raw.max()
-                score = np.maximum(raw - top - np.log(np.exp(raw - top).sum()), -12.0).astype(np.float32)
-        self.known[token] = len(self.scores)
-        self.scores.append(score)
-        self.sizes.append(len(word))
-        return self.known[token]
-
-    def of(self, tokens: list[str]) -> np.ndarray:
-        found = list(map(self.known.get, tokens))
-        if None in found:
-            for i, token in enumerate(tokens):
-                if found[i] is None:
-                    at = self.known.get(token)
-                    found[i] = self._add(token) if at is None else at
-        return np.array(found, dtype=np.int64)
+        self.scores = np.zeros((0, len(self.model.languages)), np.float32)
+        self.sizes = np.zeros(0, np.int64)
+
+    def add(self, tokens: list[str]) -> None:
+        """Scores ``tokens``, none of which is known. Tokens with one word of letters share its score."""
+        base = len(self.known)
+        self.known.update(zip(tokens, range(base, base + len(tokens))))
+        words = [token if token.isalpha() and token.islower() else letters(token) for token in tokens]
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(w, len(number)) if w else -1 for w in words], dtype=np.int64)
+        scores = np.zeros((len(tokens), len(self.model.languages)), np.float32)
+        distinct = list(number)
+        for k in range(0, len(distinct), 20_000):
+            part = distinct[k : k + 20_000]
+            held = (at >= k) & (at < k + len(part))
+            scores[held] = self._score(part)[at[held] - k]
+        self.scores = np.concatenate([self.scores, scores])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, words), dtype=np.int64, count=len(words))])
+
+    def _score(self, words: list[str]) -> np.ndarray:
+        row, classes = grams(words)
+        raw = np.stack([np.bincount(row, weights=self.model.weights[classes, j], minlength=len(words)) for j in range(len(self.model.languages))], axis=1)
+        able = self.model.scripts[np.fromiter(map(script_of, words), dtype=np.int64, count=len(words))]
+        raw = np.where(able, raw, -1e30)
+        top = raw.max(axis=1, keepdims=True)
+        score = np.maximum(raw - top - np.log(np.exp(raw - top).sum(axis=1, keepdims=True)), -12.0)
+        return np.where(able.any(axis=1, keepdims=True), score, 0.0).astype(np.float32)
+
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The positions of each text's tokens in ``scores``."""
+        fresh = dict.fromkeys(token for tokens in texts for token in tokens if token not in self.known)
+        if fresh:
+            self.add(list(fresh))
+        get = self.known.__getitem__
+        return [np.fromiter(map(get, tokens), dtype=np.int64, count=len(tokens)) for tokens in texts]
 
 
 def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list[np.ndarray]:
@@ -194,10 +219,10 @@ LABELLED = "lang string, score double, spans array<struct<lang:string,first_word
 
 def _label(group: list[str | None], scorer: Scorer, penalty: float, with_spans: bool) -> list[tuple]:
     model = scorer.model
-    if len(scorer.scores) > CACHE_ENTRIES:
+    if len(scorer.known) > CACHE_ENTRIES:
         scorer.forget()
-    texts = [scorer.of(t.split()) if t and model.languages else np.zeros(0, np.int64) for t in group]
-    scores, sizes = np.array(scorer.scores, dtype=np.float32).reshape(len(scorer.scores), len(model.languages)), np.array(scorer.sizes)
+    texts = scorer.of([t.split() if t and model.languages else [] for t in group])
+    scores, sizes = scorer.scores, scorer.sizes
     out = []
     for words, labels in zip(texts, viterbi(texts, scores, penalty)):
         weight = sizes[words] if len(words) else np.zeros(0)
