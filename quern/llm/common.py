@@ -35,7 +35,7 @@ def checkpointed(frame: DataFrame) -> DataFrame:
 
 def materialize(frame: DataFrame, path: str) -> DataFrame:
     """Write a frame as Parquet and read it back: later steps survive lost executors."""
-    frame.write.mode("overwrite").parquet(path)
+    frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
