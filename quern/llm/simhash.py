@@ -8,13 +8,15 @@ components.
 errors, and of the two 24-bit halves of the other 48 bits one has at most one error, so 23 bits of it share a Golay
 key. Each fingerprint thus has 8 tables of 1 to 6 keys of 28 bits.
 
-``near_duplicates``: texts whose word shingles (five words) are similar to 0.8 or more. At that similarity some
-2 in 100 words differ, so fingerprints over distinct words differ in few bits of each 23-bit segment. Rows meet
-if two segments of a pair share a fuzzy key each (24 bits of key, three pairs of segments), which is probabilistic;
-a 256-bit SimHash over the shingles, carried along, verifies them.
+``near_duplicates``: all pairs of texts whose sets of word shingles (five words) have a Jaccard similarity of 0.8 or
+more, none missed and none added. Of sets that similar, each one's first fifth (and one) in a common order has a
+shingle of the other's: texts meet under those. What passes bounds of size, position and a 64-bit SimHash with five
+deviations of slack is verified on the exact shingle sets. The order puts shingles found often in a sample last;
+it decides how many texts meet in vain, not which are linked.
 
 Equal texts are collapsed before anything is joined. Groups that share a key are scanned for links in sorted
-streams and leave a spanning star each, never all their pairs.
+streams. Those of ``link_64`` leave a spanning star each, never all their pairs; those of ``near_duplicates`` first
+leave a star, and once its links are verified, the pairs that these have not connected.
 """
 
 from __future__ import annotations
@@ -106,19 +108,6 @@ def keys_64(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             table += 1
 
 
-#: Segments of 23 bits that stand in pairs, three pairs in 138 bits.
-PAIRS = 3
-
-
-def keys_wide(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, key) of each pair of segments for codes whose first 3 columns hold two segments each."""
-    for pair in range(PAIRS):
-        a, av = golay.keys((codes[:, pair] & _U(0x7FFFFF)).astype(np.uint32))
-        b, bv = golay.keys(((codes[:, pair] >> _U(32)) & _U(0x7FFFFF)).astype(np.uint32))
-        row, i, j = np.nonzero(av[:, :, None] & bv[:, None, :])
-        yield row, _U(pair << 24) | a[row, i].astype(np.uint64) << _U(12) | b[row, j].astype(np.uint64)
-
-
 def _star_edges(codes: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Spanning stars (root, member) of the groups that links within ``most`` bits make."""
     left, edges = np.arange(len(codes)), []
@@ -223,28 +212,151 @@ def most_bits(similarity: float, bits: int = 256, slack: float = 1.0) -> int:
     return int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(same, node, code): ``same`` names a (doc_id, text), node a text; code has 3 words of segments over distinct
-    words and 4 of a SimHash over distinct shingles."""
+#: One text in SAMPLE is counted for common shingles; the most frequent COMMON of those in OFTEN of them stand last.
+SAMPLE, OFTEN, COMMON = 16, 8, 1 << 18
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(words_of(text), size)).astype(np.uint64)
+
+
+def prefix(found: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, common ones last: two sets that similar share one. Empty sets have key 0."""
+    if not len(found):
+        return np.zeros(1, dtype=np.uint64)
+    last = np.isin(found, common, assume_unique=True)
+    return np.concatenate([found[~last], found[last]])[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that many texts of a sample have; only the cost of the search depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).view(np.int64))], names=["hash"])
+
+    texts = docs.select(text_or_empty(docs).alias("text"), _node(docs).alias("node")).where(F.expr(f"pmod(node, {SAMPLE}) = 0")).dropDuplicates(["node"])
+    counts = texts.select("text").mapInArrow(run, "hash bigint").groupBy("hash").count().where(F.col("count") >= OFTEN)
+    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "hash").limit(COMMON).collect()], dtype=np.int64).view(np.uint64))
+
 
+def sketches(docs: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
+    """(same, id, node, size, code, keys): ``same`` names a (doc_id, text), node a text; size and code are the number
+    and the 64-bit SimHash of its distinct shingles, keys their prefix."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, PAIRS + 4), dtype=np.uint64)
-            for k, text in enumerate(batch.column(1)):
-                words = words_of(text.as_py())
-                if not words:
-                    continue
-                single = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], dtype=np.uint64)
-                out[k, :PAIRS] = [majority(_remix(single, 10 + i)) for i in range(PAIRS)]
-                several = np.unique(shingle_hashes(words, shingle)).astype(np.uint64)
-                out[k, PAIRS:] = [majority(_remix(several, i)) for i in range(4)]
-            codes = pa.ListArray.from_arrays(np.arange(0, out.size + 1, PAIRS + 4, dtype=np.int32), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), codes], names=["same", "id", "node", "code"])
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            codes = np.array([majority(_remix(s, 0)) for s in sets], dtype=np.uint64).view(np.int64)
+            keys = pa.array([prefix(s, similarity, common.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), sizes, pa.array(codes), keys], names=["same", "id", "node", "size", "code", "keys"])
 
     wanted = docs.select(_same(docs).alias("same"), text_or_empty(docs).alias("text"), docs["doc_id"].cast("bigint").alias("id"), _node(docs).alias("node"))
-    return wanted.mapInArrow(run, "same string, id bigint, node bigint, code array<bigint>")
+    return wanted.mapInArrow(run, "same string, id bigint, node bigint, size bigint, code bigint, keys array<bigint>")
+
+
+def _may_match(rows: dict, x, y, similarity: float, most: int) -> np.ndarray:
+    """Whether rows x and y of one key can be that similar if the key is the first one they share."""
+    size, left, code = rows["size"], rows["size"] - rows["pos"], rows["code"]
+    shared = np.minimum(left[x], left[y])  # at most
+    near = shared + 1e-9 >= similarity * (size[x] + size[y] - shared)
+    near |= (size[x] == 0) & (size[y] == 0)
+    return near & (np.bitwise_count(code[x] ^ code[y]) <= most) & (rows["label"][x] != rows["label"][y])
+
+
+def _pairs(rows: dict, similarity: float, most: int, every: bool) -> tuple[list, np.ndarray]:
+    """Pairs (a, b) of nodes to verify among complete runs of equal keys, and the rows of long runs.
+
+    Long runs give pairs with their first row only, unless ``every`` is set.
+    """
+    key, node = rows["key"], rows["node"]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    short = np.repeat(size <= SHORT_RUN, size)
+    pairs = []
+
+    def keep(x, y):
+        good = _may_match(rows, x, y, similarity, most)
+        x, y = np.broadcast_arrays(x, y)
+        pairs.append((np.minimum(node[x[good]], node[y[good]]), np.maximum(node[x[good]], node[y[good]])))
+
+    for shift in range(1, int(min(SHORT_RUN, size.max()))):
+        at = np.flatnonzero((key[shift:] == key[:-shift]) & short[shift:])
+        keep(at, at + shift)
+    for start, n in zip(first[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist()):
+        labels = rows["label"][start : start + n]
+        if (labels == labels[0]).all():
+            continue
+        for i in range(start, start + n - 1 if every else start + 1):
+            keep(np.array([i]), np.arange(i + 1, start + n))
+    return pairs, np.flatnonzero(~short)
+
+
+KEYED = "key bigint, node bigint, size bigint, pos bigint, code bigint, label bigint"
+
+
+def _meet(keyed: DataFrame, similarity: float, most: int, every: bool) -> DataFrame:
+    """KEYED -> (a, b) pairs to verify, and KEYED rows of long runs with null a, unless ``every`` is set."""
+    names = [part.split()[0] for part in KEYED.split(", ")]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows):
+            pairs, long = _pairs(rows, similarity, most, every)
+            pairs = np.unique(np.stack([np.concatenate(p) for p in zip(*pairs)], axis=1), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            for k in range(0, len(pairs), 50_000):
+                a, b = np.ascontiguousarray(pairs[k : k + 50_000].T)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64()) for _ in names]], names=["a", "b", *names])
+            for k in range(0, 0 if every else len(long), 50_000):
+                at = long[k : k + 50_000]
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *[pa.array(rows[n][at].view(np.int64)) for n in names]], names=["a", "b", *names])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {n: batch.column(n).to_numpy() for n in names}
+            rows["code"] = rows["code"].view(np.uint64)
+            if held is not None:
+                rows = {n: np.concatenate([held[n], rows[n]]) for n in names}
+            whole = int(np.searchsorted(rows["key"], rows["key"][-1], side="left"))
+            held = {n: rows[n][whole:] for n in names}
+            if whole:
+                yield from found({n: rows[n][:whole] for n in names})
+        if held is not None:
+            yield from found(held)
+
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(meet, f"a bigint, b bigint, {KEYED}")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose exact shingle sets are that similar."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared + 1e-9 >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("id.same").alias("same"))
+    chosen = docs.select(_same(docs).alias("same"), _node(docs).alias("node"), text_or_empty(docs).alias("text")).join(wanted, "same", "left_semi")
+    found = checkpointed(chosen.select("node", "text").mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"]))
+    left = found.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    right = found.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
 
 
 def _node(docs: DataFrame):
@@ -260,10 +372,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     A group keeps its least doc_id (nulls last), of rows with that id the one with the least ``same``.
     """
-    found = checkpointed(sketches(docs, shingle))
-    nodes = checkpointed(found.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("id"), F.first("code").alias("code")))
-    edges = link(nodes, keys_wide, slice(PAIRS, PAIRS + 4), most_bits(similarity))
-    kept = classes(nodes.select("node", "id"), edges).select(F.col("least.same").alias("same")).distinct()
+    found = checkpointed(sketches(docs, similarity, shingle))
+    nodes = checkpointed(found.groupBy("node").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("id"), *[F.first(c).alias(c) for c in ("size", "code", "keys")]))
+    most = most_bits(similarity, 64, 5.0)
+    keyed = nodes.select("node", "size", "code", F.posexplode("keys").alias("pos", "key"))
+    names = [part.split()[0] for part in KEYED.split(", ")]
+    met = checkpointed(_meet(keyed.select("key", "node", "size", F.col("pos").cast("bigint").alias("pos"), "code", F.col("node").alias("label")), similarity, most, False))
+    edges = verified(docs, nodes, met.where("a IS NOT NULL").select("a", "b").distinct(), similarity, shingle)
+    # Long runs left a star each: what its verified links have not connected is compared in whole.
+    long = met.where("a IS NULL").drop("a", "b", "label").join(stars(edges).withColumnRenamed("root", "label"), "node", "left")
+    rest = _meet(long.withColumn("label", F.coalesce("label", "node")).select(*names), similarity, most, True)
+    more = verified(docs, nodes, checkpointed(rest.select("a", "b").distinct()), similarity, shingle)
+    kept = classes(nodes.select("node", "id"), edges.unionByName(more)).select(F.col("least.same").alias("same")).distinct()
     return kept
 
 

@@ -115,6 +115,44 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert all(r.doc_id == min(i for i, g in group.items() if g == group[r.doc_id]) for r in kept)
 
 
+def jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def edited_pair(rng, kind, share):
+    """A text of 400 words and an edit of it at a shingle similarity next to ``share`` (exactly 0.8 is reached)."""
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    base = [word() for _ in range(404)]
+    n = round(400 * (1 - share) if kind == "cut" else 400 * (1 / share - 1) if kind == "append" else 400 * (1 - share) / (1 + share))
+    if kind == "cut":
+        copy = base[: 404 - n]
+    elif kind == "append":
+        copy = base + [word() for _ in range(n)]
+    elif kind == "block":
+        copy = base[:100] + [word() for _ in range(n - 4)] + base[100 + n - 4 :]
+    else:
+        copy = list(base)
+        for i in range(n // 5):
+            copy[10 + 8 * i] = word()
+    return " ".join(base), " ".join(copy)
+
+
+def kept_pairs(spark, pairs):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id bigint, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert all(2 * i in kept for i in range(len(pairs)))
+    return [2 * i + 1 in kept for i in range(len(pairs))]
+
+
+def test_near_dedup_finds_every_kind_of_edit_at_the_threshold(spark):
+    rng = random.Random(11)
+    pairs = [edited_pair(rng, kind, share) for kind in ("cut", "append", "block", "scattered") for share in (0.8, 0.85, 0.9) for _ in range(15)]
+    alike = [jaccard(*p) for p in pairs]
+    assert min(alike) >= 0.8 and alike.count(0.8) >= 30
+    assert not any(kept_pairs(spark, pairs))
+
+
 def test_simhash_odd_rows(spark, odd_docs):
     assert simhash.link_64(odd_docs).count() == odd_docs.count()
     kept = simhash.keep_one(odd_docs)
