@@ -153,6 +153,38 @@ def test_near_dedup_finds_every_kind_of_edit_at_the_threshold(spark):
     assert not any(kept_pairs(spark, pairs))
 
 
+def test_near_dedup_keeps_what_is_below_the_threshold(spark):
+    rng = random.Random(12)
+    pairs = [edited_pair(rng, kind, share) for kind in ("cut", "append", "block", "scattered") for share in (0.7, 0.75, 0.78) for _ in range(15)]
+    assert max(jaccard(*p) for p in pairs) < 0.8
+    assert all(kept_pairs(spark, pairs))
+
+
+def test_near_dedup_groups_equal_all_pairs(spark):
+    """Revisions of few texts: every group has texts alike only through others, and is too long for all pairs at once."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    texts = []
+    for _ in range(3):
+        family = [[word() for _ in range(150)]]
+        for _ in range(40):
+            copy = list(rng.choice(family))
+            for _ in range(rng.randrange(1, 7)):
+                copy[rng.randrange(150)] = word()
+            family.append(copy)
+        texts += [" ".join(f) for f in family]
+    rng.shuffle(texts)
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert 3 < len(set(group)) < len(texts)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(group))
+
+
 def test_simhash_odd_rows(spark, odd_docs):
     assert simhash.link_64(odd_docs).count() == odd_docs.count()
     kept = simhash.keep_one(odd_docs)
