@@ -2,8 +2,9 @@
 
 The base detectors are fixed patterns with checks. Their hits are seeds: the words around them are lexical patterns,
 and patterns and instances form a graph. A pattern's score is the share of its instances that are known, smoothed;
-an unknown identifier-like token scores as its best pattern does, and counts as known in the next round. Patterns
-with enough seeds and a high score then mark the unknown tokens in their context.
+an unknown identifier-like token (or spaced number, or address with a written "(at)") scores as its best pattern does,
+and counts as known in the next round, for all patterns around it. Rounds go on until no score changes. Patterns with
+enough known instances and a high score then mark the unknown ones in their context.
 
 All counts are aggregations over the whole corpus; a common pattern is pre-aggregated before it is shuffled, and the
 iterations are checkpointed. Texts are read once and not shuffled for detection.
@@ -13,6 +14,7 @@ Null texts count as empty, repeated rows get the same spans, an empty table give
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -31,6 +33,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGIT = re.compile(r"[0-9]")
+#: One part of a number written in groups; a written at and the domain after it.
+_GROUP = re.compile(r"[+(]?[0-9][0-9()./-]*")
+_AT = re.compile(r" ?[(\[] ?at ?[)\]] ?[a-z0-9-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[a-z0-9-]+)*", re.I)
+_TRIM = ".,;:!?()[]{}<>\"'|"
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 SPAN = "struct<rank:int,kind:string,start:bigint,end:bigint>"
 MENTION = "struct<kind:string,instance:string,start:bigint,end:bigint,patterns:array<string>>"
@@ -89,29 +95,57 @@ def _context(words: list[str], i: int, j: int) -> list[str]:
     return [f"{left}\x20_", f"{before}\x20{left}\x20_", f"{left}\x20_\x20{right}"]
 
 
+def _grouped(text: str, tokens: list) -> Iterator[tuple[int, int]]:
+    """Numbers of seven digits or more in groups of less, one space apart."""
+    start = end = digits = groups = 0
+    for i, t in enumerate([*tokens, None]):
+        last = t and t[0].rstrip(_TRIM)
+        part = t and _GROUP.fullmatch(last) and len(_NOT_DIGIT.sub("", last)) < 7
+        if groups and not (part and t.start() == tokens[i - 1].end() + 1 and text[end : tokens[i - 1].end()] in ("", ")")):
+            if groups > 1 and digits >= 7:
+                yield start, end
+            groups = 0
+        if part:
+            if not groups:
+                start, digits = t.start(), 0
+            groups, digits, end = groups + 1, digits + len(_NOT_DIGIT.sub("", last)), t.start() + len(last)
+
+
+def _written(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a written at, such as name (at) host."""
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start():
+            yield start, m.end()
+
+
 def mentions(text: str, spans: Sequence[tuple[int, int, int]]) -> list[tuple]:
-    """Seeds (with kind) and unknown identifier-like tokens (without) with their contexts."""
-    if not _DIGIT.search(text) and "@" not in text:
+    """Seeds (with kind) and unknown identifier-like tokens and runs of tokens (without) with their contexts."""
+    written = list(_written(text))
+    if not written and not _DIGIT.search(text) and "@" not in text:
         return []
     tokens = list(_TOKEN.finditer(text))
-    words = [t[0] for t in tokens]
-    out, k = [], 0
-    for rank, a, b in sorted(spans, key=lambda s: s[1]):
-        while k < len(tokens) and tokens[k].end() <= a:
-            k += 1
-        j = k
-        while j + 1 < len(tokens) and tokens[j + 1].start() < b:
-            j += 1
-        out.append((KINDS[rank], text[a:b], a, b, _context(words, k, j)))
-    taken = [(a, b) for _, a, b in sorted(spans, key=lambda s: s[1])]
-    for i, t in enumerate(tokens):
-        if not ("@" in t[0] or _DIGIT.search(t[0])):
-            continue
-        token = t[0].strip(".,;:!?()[]{}<>\"'|")
-        if _shape(token) and len(token) <= 64:
-            a = t.start() + t[0].index(token)
-            if not any(x < a + len(token) and a < y for x, y in taken):
-                out.append((None, token, a, a + len(token), _context(words, i, i)))
+    words, ends = [t[0] for t in tokens], [t.end() for t in tokens]
+
+    def context(a: int, b: int) -> list[str]:
+        return _context(words, bisect_right(ends, a), bisect_left(ends, b))
+
+    out = [(KINDS[rank], text[a:b], a, b, context(a, b)) for rank, a, b in sorted(spans, key=lambda s: s[1])]
+    single = []
+    for t in tokens:
+        if "@" in t[0] or _DIGIT.search(t[0]):
+            token = t[0].strip(_TRIM)
+            if _shape(token):
+                a = t.start() + t[0].index(token)
+                single.append((a, a + len(token)))
+    taken = [(a, b) for _, a, b in spans]
+    # Grouped numbers and single tokens never overlap.
+    for several in (written, [*single, *_grouped(text, tokens)]):
+        free = [(a, b) for a, b in several if not any(x < b and a < y for x, y in taken)]
+        out += [(None, text[a:b], a, b, context(a, b)) for a, b in free]
+        taken += free
     return out
 
 
@@ -138,36 +172,39 @@ def same_key(docs: DataFrame):
     return F.md5(F.concat_ws("|", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.md5(text_or_empty(docs))))
 
 
-def learn(marked: DataFrame, rounds: int = 3, least_seeds: int = 5, confident: float = 0.8) -> DataFrame:
-    """(pattern, kind, score): patterns whose instances are mostly known, from at least ``least_seeds`` seeds.
+def _fits():
+    """Whether the instance may be of the kind."""
+    mail = F.col("instance").contains("@") | F.col("instance").rlike(r"(?i)[(\[] ?at ?[)\]]")
+    return F.when(F.col("kind") == "email", mail).otherwise(~mail)
+
+
+def learn(marked: DataFrame, least_seeds: int = 5, confident: float = 0.8) -> DataFrame:
+    """(pattern, kind, score): patterns whose instances are mostly known, from at least ``least_seeds`` known ones.
 
     An unknown instance may take a kind its shape allows. Scores are smoothed as if each pattern had one more
-    instance, an unknown one.
+    instance, an unknown one. They only grow from round to round, as what is known does, and settle.
     """
     edges = marked.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.instance", F.col("m.kind").alias("seed")).distinct().checkpoint()
-    seeds = edges.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    seeded = edges.where("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(F.countDistinct("instance").alias("n_seeds"))
+    seeds = edges.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct().checkpoint()
     sizes = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size"))
-    # Only patterns with enough seeds can ever be confident; the graph is cut down to them.
-    able = seeded.where(F.col("n_seeds") >= least_seeds).join(sizes, "pattern").checkpoint()
-    links = edges.join(able, "pattern").select("pattern", "kind", "instance", "size", "n_seeds", "seed").checkpoint()
-    known, patterns = seeds, None
-    for _ in range(rounds):
-        scored = links.join(known, ["instance", "kind"], "left").groupBy("pattern", "kind").agg(
-            (F.sum(F.coalesce("score", F.lit(0.0))) / (F.max("size") + 1)).alias("score"))
-        patterns = scored.checkpoint()
-        fits = F.when(F.col("kind") == "email", F.col("instance").contains("@")).otherwise(~F.col("instance").contains("@"))
-        guessed = links.where(F.col("seed").isNull() & fits).join(patterns.where(F.col("score") >= confident), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("score"))
-        known = seeds.unionByName(guessed).groupBy("instance", "kind").agg(F.max("score").alias("score"))
-    return patterns.where(F.col("score") >= confident)
+    links = edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").isNull()).alias("unknown")).join(sizes, "pattern").checkpoint()
+    known, before = seeds, None
+    while True:
+        scored = links.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("n"), (F.sum("score") / (F.max("size") + 1)).alias("score"))
+        patterns = scored.where((F.col("n") >= least_seeds) & (F.col("score") >= confident)).select("pattern", "kind", "score").checkpoint()
+        now = patterns.agg(F.count("*"), F.round(F.sum("score"), 6)).first()
+        if now == before:
+            return patterns
+        before = now
+        guessed = links.where("unknown").select("pattern", "instance").join(patterns, "pattern").where(_fits()).select("instance", "kind", "score")
+        known = seeds.unionByName(guessed).groupBy("instance", "kind").agg(F.max("score").alias("score")).checkpoint()
 
 
 def discover(marked: DataFrame, patterns: DataFrame) -> DataFrame:
     """(same, more): spans of unknown tokens within a confident pattern; of several kinds the best scored."""
     unknown = marked.select("same", F.explode("mentions").alias("m")).where("m.kind IS NULL")
     at = unknown.select("same", "m.instance", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
-    fits = F.when(F.col("kind") == "email", F.col("instance").contains("@")).otherwise(~F.col("instance").contains("@"))
-    best = at.join(patterns, "pattern").where(fits).groupBy("same", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    best = at.join(patterns, "pattern").where(_fits()).groupBy("same", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     span = F.struct(F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("context_"), F.col("best.kind")).alias("kind"), "start", "end")
     return best.groupBy("same").agg(F.collect_set(span).alias("more"))
 

@@ -78,6 +78,18 @@ def test_context_discovers_unseen_identifiers(spark):
     assert text[12] == "please call my phone <CONTEXT_PHONE> for more" and text[13] == rows[13] and text[0] == "please call my phone <PHONE> for more"
 
 
+def test_discovered_instances_induce_patterns(spark):
+    """The second context has no base seed, only numbers that the first one discovers; and groups of digits count."""
+    rows = [f"please call my phone +1 (200) 555-{1000 + i} for more" for i in range(80)]
+    rows += [f"please call my phone 20055577{i} for more" for i in range(10, 22)] + [f"ring desk line 20055577{i} at noon" for i in range(10, 22)]
+    rows += [f"write to user{i}@host.example today" for i in range(30)]
+    rows += ["ring desk line 2005558888 at noon", "please call my phone 555 123 4567 for more", "please call my phone (555) 123 4568, for more",
+             "write to joe.x (at) host.example today", "the build 2005559998 is old", "rows 12 34 56 78 90 follow"]
+    found = [[(s.kind, rows[r.doc_id][s.start : s.end]) for s in r.spans] for r in sorted(pii.detect(docs_of(spark, rows)).collect(), key=lambda r: r.doc_id)][-6:]
+    assert found == [[("context_phone", "2005558888")], [("context_phone", "555 123 4567")], [("context_phone", "(555) 123 4568")],
+                     [("context_email", "joe.x (at) host.example")], [], []]
+
+
 def test_pii_odd_rows(spark, odd_docs):
     assert pii.detect(odd_docs).count() == odd_docs.count()
     same = pii.redact(odd_docs)
