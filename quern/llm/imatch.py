@@ -1,9 +1,8 @@
 """I-Match fingerprints over randomised lexicons.
 
 The lexicon is the terms whose document frequency lies in a band of inverse document frequency. Terms are lower-cased
-words; frequencies are counted exactly for 2**20 classes of terms by hash, so the lexicon is a bit map of 128 KB
-whatever the corpus, and that map is all that is broadcast. A class's frequency counts the documents with any of its
-terms.
+words, told apart by 64-bit hashes; frequencies are counted exactly for each. The lexicon is the sorted hashes of the
+terms in the band, 8 bytes a term, and is broadcast.
 
 A text's lexicon terms, distinct and sorted, are hashed once for each of several random sub-lexicons. A sub-lexicon
 of level L holds one term in 2**L; a text uses the level at which it has about one term in each, and the next, so
@@ -27,8 +26,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize, shared_dir, text_or_empty
 
-#: Classes of terms, sub-lexicons, and the band of idf in parts of the largest, log(documents).
-CLASSES, SUBSETS, BAND = 1 << 20, 40, (0.1, 0.97)
+#: Sub-lexicons, and the band of idf in parts of the largest, log(documents).
+SUBSETS, BAND = 40, (0.1, 0.97)
+#: Terms a task gathers before it counts them.
+GATHERED = 2_000_000
 #: Hashes a worker remembers.
 CACHE_ENTRIES = 400_000
 _U = np.uint64
@@ -56,45 +57,55 @@ class Terms:
 
 
 def _class(terms: np.ndarray) -> np.ndarray:
-    return (terms & _U(CLASSES - 1)).astype(np.int64)
+    return terms.view(np.int64)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(class, df): over all documents; each task sends one row a class at most."""
+    """(class, df): of every term, by its hash, over all documents; tasks send counts of some millions of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts = Terms(), np.zeros(CLASSES, dtype=np.int64)
+        terms, gathered, n = Terms(), [], 0
+
+        def counted():
+            found, counts = np.unique(np.concatenate(gathered), return_counts=True)
+            for k in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(_class(found[k : k + 50_000])), pa.array(counts[k : k + 50_000].astype(np.int64))], names=["class", "df"])
+
         for batch in batches:
             for t in batch.column(0):
-                counts[np.unique(_class(terms.of(t.as_py())))] += 1
-        used = np.flatnonzero(counts)
-        for k in range(0, len(used), 50_000):
-            part = used[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["class", "df"])
+                gathered.append(terms.of(t.as_py()))
+                n += len(gathered[-1])
+                if n >= GATHERED:
+                    yield from counted()
+                    gathered, n = [], 0
+        if n:
+            yield from counted()
 
-    return docs.select(text_or_empty(docs).alias("text")).mapInArrow(run, "class int, df bigint").groupBy("class").agg(F.sum("df").alias("df"))
+    return docs.select(text_or_empty(docs).alias("text")).mapInArrow(run, "class bigint, df bigint").groupBy("class").agg(F.sum("df").alias("df"))
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
-    """Bit map of the classes in the band, CLASSES bits, from exact counts over all documents.
+    """Sorted hashes of the terms in the band, from exact counts over all documents.
 
-    What reaches the driver is packed to one bit a class: rows of 4096 classes, 256 of them at most.
+    They reach the driver packed, 8 bytes a term.
     """
     n = docs.count()
     share = F.log(F.lit(float(max(n, 1))) / F.col("df")) / F.log(F.lit(float(max(n, 3))))
     kept = document_frequencies(docs).where(share.between(*band)).select("class")
-    words = kept.groupBy((F.col("class") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, class % 64))").alias("bits"))
-    rows = words.groupBy((F.col("word") / 64).cast("int").alias("block")).agg(F.collect_list(F.struct("word", "bits")).alias("words")).collect()
-    out = np.zeros(CLASSES // 64, dtype=np.int64)
-    for row in rows:
-        for word in row["words"]:
-            out[word["word"]] = word["bits"]
-    return out.view(np.uint64)
-
-
-def in_lexicon(terms: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = _class(terms)
-    held = terms[(bits[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == _U(1)]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], names=["hashes"])
+
+    found = b"".join(bytes(row[0]) for row in kept.mapInArrow(packed, "hashes binary").toLocalIterator())
+    return np.sort(np.frombuffer(found, dtype=np.uint64))
+
+
+def in_lexicon(terms: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    if not len(lexicon):
+        return terms
+    at = np.searchsorted(lexicon, terms)
+    held = terms[lexicon[np.minimum(at, len(lexicon) - 1)] == terms]
     return held if len(held) else terms
 
 
@@ -158,11 +169,11 @@ STREAMED = f"{RESULT}, shard int, edge int, text string"
 
 
 class Printer:
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.terms = bits, Terms()
+    def __init__(self, lexicon: np.ndarray):
+        self.lexicon, self.terms = lexicon, Terms()
 
     def signature(self, text: str) -> dict[int, np.ndarray]:
-        return signatures(in_lexicon(self.terms.of(text), self.bits))
+        return signatures(in_lexicon(self.terms.of(text), self.lexicon))
 
     def row(self, doc_id, text: str, own: dict, following: str, other: dict) -> tuple:
         changed = edited(text, following)
@@ -184,7 +195,7 @@ def compare(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     wanted = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"))
-    bits = spark.sparkContext.broadcast(lexicon(wanted))
+    held = spark.sparkContext.broadcast(lexicon(wanted))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tied = wanted.withColumn("tie", F.xxhash64("text"))
     ordered = tied.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
@@ -192,7 +203,7 @@ def compare(docs: DataFrame) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, printer, out, last = TaskContext.get().partitionId(), Printer(bits.value), [], None
+        shard, printer, out, last = TaskContext.get().partitionId(), Printer(held.value), [], None
         blank = (None,) * 6
         for batch in batches:
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -220,7 +231,7 @@ def compare(docs: DataFrame) -> DataFrame:
     tails = edges.select("doc_id", "text", "edge", F.coalesce(F.lead("text").over(order), F.first("text").over(every)).alias("following")).where("edge = 1")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        printer = Printer(bits.value)
+        printer = Printer(held.value)
         for batch in batches:
             rows = []
             for doc_id, text, following in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "following"))):

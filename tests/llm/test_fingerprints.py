@@ -219,6 +219,17 @@ def test_lexicon_counts_documents(spark):
     assert held.tolist() == terms.of("a").tolist()
 
 
+def test_lexicon_holds_terms_by_their_own_frequency(spark):
+    """600,000 terms of one document each: by 2**20 classes very many would share one with another and count as two."""
+    rows = [(" ".join(f"t{i}x{k}" for k in range(600)) + f" pair{i // 2} all",) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "text string").repartition(4)
+    terms = imatch.Terms()
+    held = imatch.lexicon(docs)
+    pairs = terms.of(" ".join(f"pair{i}" for i in range(500)))
+    assert imatch.in_lexicon(terms.of("t5x7 t999x599 all pair3"), held).tolist() == terms.of("pair3").tolist()
+    assert np.array_equal(held, pairs)
+
+
 def test_imatch_odd_rows(spark, odd_docs):
     found = imatch.compare(odd_docs).collect()
     assert len(found) == odd_docs.count()
