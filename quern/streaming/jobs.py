@@ -26,15 +26,22 @@ def run(stream: DataFrame, mode: str, each) -> None:
     query.awaitTermination()
 
 
-def window_counts(events: DataFrame, delay: str = "2 days", width: str = "1 day") -> DataFrame:
+def span(events: DataFrame) -> str:
+    """The time between the first and the last event, rounded up: with that delay no row can be late."""
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    return f"{0 if first is None else (last - first) // 1_000_000 + 1} seconds"
+
+
+def window_counts(events: DataFrame, delay: str | None = None, width: str = "1 day") -> DataFrame:
     """Event-time tumbling windows with a watermark: (start, event_type, n, total).
 
-    Timestamps without a zone can not carry a watermark, so they are cast. Every micro-batch sends the windows it
+    Timestamps without a zone can not carry a watermark, so they are cast. The delay is the span of
+    the events if none is given, so that all rows count, whatever their order. Every micro-batch sends the windows it
     changed; the last state of each window is the result.
     """
     spark, path = events.sparkSession, scratch(events.sparkSession)
-    stream = as_stream(events.withColumn("ts", F.col("ts").cast("timestamp")))
-    counts = stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    zoned = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = as_stream(zoned).withWatermark("ts", delay or span(zoned)).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     flat = counts.select(F.col("w.start").alias("start"), "event_type", "n", "total")
     run(flat, "update", lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path))
     done = spark.read.schema("start timestamp, event_type string, n bigint, total double, batch bigint").parquet(path)
