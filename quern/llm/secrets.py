@@ -1,13 +1,16 @@
 """Secret scanning with an incremental blob ledger.
 
-A blob is a text under its content address (sha256). The ledger holds which (blob, rule version) pairs have been
-scanned and what was found. A scan takes the distinct blobs of all document versions, runs on each only the rules
-whose version the ledger has not seen for it, adds the findings, and joins them back to every document with that
-content. Copies are scanned once, however many paths hold them.
-
-All of it is DataFrame expressions. Offsets are code points: a match's start is the length of the gaps and matches
-before it, taken from two extractions over the same pattern ``gap, then match or end of text``.
-Null texts count as empty, empty texts have no findings, repeated rows share their blob's findings.
+A blob is a text under its content address (sha256). The ledger is a table that holds which rule versions a blob has
+been scanned with and what each of them found. A scan takes the distinct blobs of all document versions, runs on each
+only the rule versions the ledger has not seen for it, appends their findings, and joins the findings of the current
+rule versions back to every document with that content. A rule whose version moves on is scanned anew, and what its
+old version found stays in the ledger without showing; a rule that is taken out and put back is not scanned again.
+
+All of it is DataFrame expressions. Offsets are code points: a match's end is the running length of the gaps and
+matches up to it, taken from two extractions over the same pattern ``gap, then match or end of text``; the running sum
+is a window over the matches of a blob, so it is linear in them.
+Null texts count as empty, empty texts have no findings, repeated rows share their blob's findings, very long texts
+are scanned whole, an empty table has an empty result. Kept columns may have any names: they travel in a struct.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_or_empty
+from quern.llm.common import exists, materialize, shared_dir, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -53,111 +56,105 @@ RULES = (
 )
 
 FINDING = "array<struct<rank:int,kind:string,start:bigint,end:bigint>>"
-LEDGER_SCHEMA = f"blob string, scanned array<string>, findings {FINDING}"
+MATCH = "array<struct<rule:string,i:int,gap:int,hit:int,good:boolean>>"
+LEDGER_SCHEMA = "blob string, scanned array<string>, findings array<struct<rule:string,start:bigint,end:bigint>>"
 
 
-def _finding(rank: int, rule: Rule, text: Column) -> Column:
-    """Array of findings of one rule in one text; linear, as the last match is the end of the text."""
-    groups = 3 if rule.value else 2
+def _matches(rule: Rule, text: Column) -> Column:
+    """The matches of one rule in their order, each with the length of the gap before it; the last is the end of the text."""
     scan = F.lit(rf"(?s)(.*?)({rule.pattern}|\z)")
     gaps, hits = F.regexp_extract_all(text, scan, F.lit(1)), F.regexp_extract_all(text, scan, F.lit(2))
-    sizes = F.regexp_extract_all(text, scan, F.lit(3)) if groups == 3 else hits
-    # A running sum over the few matches: (position, list) folded from the left.
-    rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), sizes.alias("value"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(FINDING).alias("found"))
+    values = F.regexp_extract_all(text, scan, F.lit(3)) if rule.value else hits
+    rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
+    good = lambda row: (F.length(row["hit"]) >= max(rule.least, 1)) & (F.length(row["value"]) >= max(rule.value, 1))
+    return F.transform(rows, lambda row, i: F.struct(
+        F.lit(rule.key).alias("rule"), i.alias("i"), F.length(row["gap"]).alias("gap"), F.length(row["hit"]).alias("hit"), good(row).alias("good")))
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["gap"])
-        end = start + F.length(row["hit"])
-        good = (F.length(row["hit"]) >= max(rule.least, 1)) & (F.length(row["value"]) >= max(rule.value, 1))
-        one = F.array(F.struct(F.lit(rank).alias("rank"), F.lit(rule.name).alias("kind"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
-        return F.struct(end.cast("bigint").alias("at"), F.when(good, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(rows, empty, step, lambda state: state["found"])
-
-
-def scan_text(text: Column, rules: Sequence[Rule] = RULES, seen: Column | None = None) -> Column:
-    """Findings of all ``rules`` in a text, but for rules whose key is in ``seen``, by start and rank.
+def matches(text: Column, rules: Sequence[Rule] = RULES, seen: Column | None = None) -> Column:
+    """Matches of all ``rules`` in a text, but for rules whose key is in ``seen``.
 
     A rule's hint is tested first: most texts end there, without building any array.
     """
-    none = F.array().cast(FINDING)
+    none = F.array().cast(MATCH)
     parts = []
-    for rank, rule in enumerate(rules):
+    for rule in rules:
         run = F.rlike(text, F.lit(rule.hint))
         if rule.value:
             run = run & F.rlike(text, F.lit(rule.pattern))
         if seen is not None:
             run = ~F.array_contains(seen, rule.key) & run
-        parts.append(F.when(run, _finding(rank, rule, text)).otherwise(none))
+        parts.append(F.when(run, _matches(rule, text)).otherwise(none))
     return F.concat(*parts)
 
 
-def ordered(findings: Column) -> Column:
-    return F.array_sort(
-        findings,
-        lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1))
-        .when(a["rank"] != b["rank"], F.when(a["rank"] < b["rank"], -1).otherwise(1)).otherwise(0),
-    )
-
-
 def rendered(findings: Column) -> Column:
     """``kind:start:end`` by start, then kind as listed, comma-joined."""
-    return F.array_join(F.transform(ordered(findings), lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    ordered = F.array_sort(F.transform(findings, lambda f: F.struct(f["start"], f["rank"], f["end"], f["kind"])))
+    return F.array_join(F.transform(ordered, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
 
 def addressed(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """(keep..., blob, content): every document version with its content address."""
+    """(doc, blob, content): every document version with its content address; doc is a struct of the columns ``keep``."""
     text = text_or_empty(docs)
-    return docs.select(*[docs[c] for c in keep], F.sha2(text, 256).alias("blob"), text.alias("content"))
+    return docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), F.sha2(text, 256).alias("blob"), text.alias("content"))
 
 
 def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """New ledger rows: blobs of ``versions`` with a rule the ledger has not run on them.
+    """New ledger rows: blobs of ``versions`` with a rule version the ledger has not run on them.
 
-    Distinct blobs come from an aggregation with map-side combine, so a text that fills a third of the rows is
-    sent once a task. Of the ledger only addresses and rule keys are read.
+    Which blobs those are is found without their texts; only texts of such blobs are then exchanged, once, by an
+    aggregation with map-side combine, so a text that fills a third of the rows is sent once a task. The window and
+    the last aggregation need no further exchange.
     """
     keys = F.array(*[F.lit(r.key) for r in rules])
-    blobs = versions.groupBy("blob").agg(F.first("content").alias("content"))
-    if ledger is None:
-        return blobs.select("blob", keys.alias("scanned"), scan_text(F.col("content"), rules).alias("findings"))
-    done = ledger.groupBy("blob").agg(F.flatten(F.collect_set("scanned")).alias("seen"))
-    unseen = blobs.join(done, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    left = F.array_except(keys, F.col("seen"))
-    return unseen.where(F.size(left) > 0).select("blob", left.alias("scanned"), scan_text(F.col("content"), rules, F.col("seen")).alias("findings"))
+    if ledger is not None:
+        done = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("scanned"))).alias("seen"))
+        left = versions.select("blob").distinct().join(done, "blob", "left").select("blob", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+        unseen = materialize(left.where(F.size("todo") > 0), f"{shared_dir(versions.sparkSession)}/unseen")
+        blobs = versions.join(unseen.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("content").alias("content")).join(unseen, "blob")
+        found = blobs.select("blob", F.col("todo").alias("scanned"), matches(F.col("content"), rules, F.array_except(keys, F.col("todo"))).alias("found"))
+    else:
+        blobs = versions.groupBy("blob").agg(F.first("content").alias("content"))
+        found = blobs.select("blob", keys.alias("scanned"), matches(F.col("content"), rules).alias("found"))
+    rows = found.select("blob", "scanned", F.explode_outer("found").alias("m"))
+    stop = F.sum(F.col("m.gap") + F.col("m.hit")).over(Window.partitionBy("blob", "m.rule").orderBy("m.i"))
+    spans = rows.select("blob", "scanned", "m", stop.alias("stop"))
+    one = F.when(F.col("m.good"), F.struct(F.col("m.rule").alias("rule"), (F.col("stop") - F.col("m.hit")).alias("start"), F.col("stop").alias("end")))
+    return spans.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.collect_list(one).alias("findings"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``, if there is one."""
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path) if exists(spark, path) else None
 
 
 def update_ledger(spark: SparkSession, docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Scan what the ledger at ``path`` lacks, append it there, and return the whole ledger."""
-    try:
-        ledger = spark.read.schema(LEDGER_SCHEMA).parquet(path)
-        ledger.limit(0).count()
-    except Exception as error:  # noqa: BLE001  only a missing ledger starts a new one
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        ledger = None
-    scan_blobs(addressed(docs), ledger, rules).write.mode("append").parquet(path)
+    scan_blobs(addressed(docs), read_ledger(spark, path), rules).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
 def join_back(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Every document version with the findings of its blob under the current ``rules``: keep..., findings."""
-    wanted = F.array(*[F.lit(r.key) for r in rules])
-    found = (
-        ledger.where((F.size("findings") > 0) & F.arrays_overlap("scanned", wanted))
-        .select("blob", F.explode("findings").alias("f")).where(F.col("f.kind").isin(*[r.name for r in rules]))
-        .groupBy("blob").agg(F.collect_set("f").alias("findings"))
-    )
-    joined = versions.drop("content").join(found, "blob", "left")
-    return joined.withColumn("findings", F.coalesce("findings", F.array().cast(FINDING)))
+    """(doc, blob, findings): every document version with what the current versions of ``rules`` found in its blob.
+
+    The blobs with findings are written out first, one row each, so the join meets them straight from an exchange and
+    adaptive execution can split a blob that very many versions share.
+    """
+    keys, names = F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.lit(r.name) for r in rules])
+    rank = F.array_position(keys, F.col("f.rule")).cast("int")
+    one = F.struct((rank - 1).alias("rank"), F.element_at(names, rank).alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"))
+    found = ledger.where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).where(F.array_contains(keys, F.col("f.rule"))).groupBy("blob").agg(F.collect_set(one).alias("findings"))
+    found = materialize(found, f"{shared_dir(ledger.sparkSession)}/found")
+    joined = versions.select("doc", "blob").join(found, "blob", "left")
+    return joined.select("doc", "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
-def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Findings of every document: keep..., blob, findings. With a ledger, only its gaps are scanned."""
-    versions = addressed(docs, keep)
-    new = scan_blobs(versions, ledger, rules)
-    return join_back(versions, new if ledger is None else ledger.unionByName(new), rules)
+def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), path: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(doc, blob, findings) of every document, through the ledger at ``path`` (a new one, if none is named)."""
+    spark = docs.sparkSession
+    ledger = update_ledger(spark, docs, path or f"{shared_dir(spark)}/ledger", rules)
+    return join_back(addressed(docs, keep), ledger, rules)
 
 
 def digest(findings: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -169,4 +166,4 @@ def digest(findings: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in base]
-    return findings.select("doc_id", *counts, F.sha2(rendered(only), 256).alias("base_sha256"), rendered(F.col("findings")).alias("spans"))
+    return findings.select("doc.doc_id", *counts, F.sha2(rendered(only), 256).alias("base_sha256"), rendered(F.col("findings")).alias("spans"))
