@@ -36,12 +36,15 @@ p AS (SELECT *, 1.5::double * sum(source_size) OVER () AS budget,
     coalesce(sum(2.0 * source_size) OVER (ORDER BY dry, no_src, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double AS spent,
     sum(weight) OVER (ORDER BY dry, no_src, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sending FROM r),
 l AS (SELECT (budget - spent) / sending AS level FROM p WHERE spent + dry * sending >= budget ORDER BY dry, no_src, src LIMIT 1),
-t AS (SELECT src, no_src, source_size, least(weight * level, 2.0::double * source_size) AS target FROM p, l),
-q AS (SELECT d.*, source_size, target,
+t AS (SELECT src, no_src, source_size, weight, least(weight * level, 2.0::double * source_size) AS target FROM p, l),
+q AS (SELECT d.*, row_number() OVER () AS id, source_size, target, weight, greatest(1, source_size // 4096)::bigint AS piece,
     sum(size) OVER (PARTITION BY src, no_src ORDER BY spread, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead
-    FROM d JOIN t USING (src, no_src))
-SELECT doc_id, size, source_size, target::double AS target,
-  (greatest(0, least(size, floor(target) - ahead)) + greatest(0, least(size, floor(target) - source_size - ahead)))::bigint AS taken FROM q
+    FROM d JOIN t USING (src, no_src)),
+e AS (SELECT *, unnest(range(1, ((size + piece - 1) // piece + 1)::bigint)) AS k FROM (SELECT *, unnest([0, 1]) AS epoch FROM q)),
+f AS (SELECT id, no_src, src, (epoch * source_size + ahead + least(k * piece, size)) / weight AS finish, least(k * piece, size) - (k - 1) * piece AS words FROM e),
+g AS (SELECT *, sum(words) OVER (ORDER BY finish, no_src, src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through, floor(0.75::double * sum(words) OVER ()) AS budget FROM f),
+h AS (SELECT id, sum(greatest(0, least(words, budget - through + words))) AS taken FROM g GROUP BY id)
+SELECT doc_id, size, source_size::bigint AS source_size, target::double AS target, coalesce(taken, 0)::bigint AS taken FROM q LEFT JOIN h USING (id)
 """
 
 
