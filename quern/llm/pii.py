@@ -8,11 +8,14 @@ enough known instances and a high score then mark the unknown ones in their cont
 
 All counts are aggregations over the whole corpus; a common pattern is pre-aggregated before it is shuffled, and the
 iterations are checkpointed. Texts are read once and not shuffled for detection.
-Null texts count as empty, repeated rows get the same spans, an empty table gives an empty result.
+Null texts count as empty, very long ones are read whole, repeated rows get the same spans, an empty table gives an
+empty result. Spans that start together stand in the order of their kinds. Other columns of the input are ignored by
+``detect`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, materialize, shared_dir, text_or_empty
+from quern.llm.common import checkpointed, fresh, materialize, shared_dir, text_or_empty
 
 #: The base kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -88,10 +91,18 @@ def _shape(token: str) -> str | None:
     return "number" if len(_NOT_DIGIT.sub("", token)) >= 7 else None
 
 
+#: A longer word stands in patterns by its hash.
+LONG_WORD = 40
+
+
+def _clean(word: str) -> str:
+    word = _DIGIT.sub("0", word.lower())
+    return word if len(word) <= LONG_WORD else "\x20" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
 def _context(words: list[str], i: int, j: int) -> list[str]:
     """Lexical patterns around words i to j: one and two words to the left, one on each side."""
-    clean = lambda k: _DIGIT.sub("0", words[k].lower())[:40] if 0 <= k < len(words) else ""
-    left, before, right = clean(i - 1), clean(i - 2), clean(j + 1)
+    left, before, right = (_clean(words[k]) if 0 <= k < len(words) else "" for k in (i - 1, i - 2, j + 1))
     return [f"{left}\x20_", f"{before}\x20{left}\x20_", f"{left}\x20_\x20{right}"]
 
 
@@ -184,20 +195,21 @@ def learn(marked: DataFrame, least_seeds: int = 5, confident: float = 0.8) -> Da
     An unknown instance may take a kind its shape allows. Scores are smoothed as if each pattern had one more
     instance, an unknown one. They only grow from round to round, as what is known does, and settle.
     """
-    edges = marked.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.instance", F.col("m.kind").alias("seed")).distinct().checkpoint()
-    seeds = edges.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct().checkpoint()
+    edges = marked.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.instance", F.col("m.kind").alias("seed")).distinct()
+    edges = checkpointed(edges)
+    seeds = checkpointed(edges.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct())
     sizes = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size"))
-    links = edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").isNull()).alias("unknown")).join(sizes, "pattern").checkpoint()
+    links = checkpointed(edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").isNull()).alias("unknown")).join(sizes, "pattern"))
     known, before = seeds, None
     while True:
         scored = links.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("n"), (F.sum("score") / (F.max("size") + 1)).alias("score"))
-        patterns = scored.where((F.col("n") >= least_seeds) & (F.col("score") >= confident)).select("pattern", "kind", "score").checkpoint()
+        patterns = checkpointed(scored.where((F.col("n") >= least_seeds) & (F.col("score") >= confident)).select("pattern", "kind", "score"))
         now = patterns.agg(F.count("*"), F.round(F.sum("score"), 6)).first()
         if now == before:
             return patterns
         before = now
         guessed = links.where("unknown").select("pattern", "instance").join(patterns, "pattern").where(_fits()).select("instance", "kind", "score")
-        known = seeds.unionByName(guessed).groupBy("instance", "kind").agg(F.max("score").alias("score")).checkpoint()
+        known = checkpointed(seeds.unionByName(guessed).groupBy("instance", "kind").agg(F.max("score").alias("score")))
 
 
 def discover(marked: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -209,6 +221,17 @@ def discover(marked: DataFrame, patterns: DataFrame) -> DataFrame:
     return best.groupBy("same").agg(F.collect_set(span).alias("more"))
 
 
+def recovered(docs: DataFrame, one_in: int = 5, least_seeds: int = 5, confident: float = 0.8) -> DataFrame:
+    """(kind, hidden, found): a measure of the method. One base instance in ``one_in``, chosen by hash, is hidden from it
+    wherever it stands; found are the mentions of those that the patterns of the others discover."""
+    hide = lambda m: F.pmod(F.xxhash64(m["instance"]), F.lit(one_in)) == 0
+    marked = materialize(mark(docs), f"{shared_dir(docs.sparkSession)}/marked")
+    masked = marked.withColumn("mentions", F.transform("mentions", lambda m: m.withField("kind", F.when(~hide(m), m["kind"]))))
+    more = discover(masked, learn(masked, least_seeds, confident)).select("same", F.explode("more").alias("s")).select("same", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(1).alias("hit"))
+    hidden = marked.select("same", F.explode(F.filter("mentions", lambda m: m["kind"].isNotNull() & hide(m))).alias("m")).select("same", "m.kind", "m.start", "m.end")
+    return hidden.join(more, ["same", "start", "end"], "left").groupBy("kind").agg(F.count("*").alias("hidden"), F.count("hit").alias("found"))
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """(same, doc_id, spans): base and discovered spans of every row, by start, then kind."""
     marked = materialize(mark(docs), f"{shared_dir(docs.sparkSession)}/marked")

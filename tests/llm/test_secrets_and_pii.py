@@ -116,6 +116,20 @@ def test_discovered_instances_induce_patterns(spark):
                      [("context_email", "joe.x (at) host.example")], [], []]
 
 
+def test_long_context_words_are_told_apart(spark):
+    """Two words that agree in their first 60 characters make different patterns; a long token is a candidate."""
+    one, two = "x" * 60 + "a", "x" * 60 + "b"
+    rows = [f"{one} user{i}@host.example" for i in range(8)] + [f"{two} {'y' * 80}@host", f"{one} {'y' * 80}@host"]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.detect(docs_of(spark, rows)).collect()}
+    assert found[8] == [] and found[9] == [("context_email", 62, 147)]
+
+
+def test_hidden_seeds_are_recovered(spark):
+    rows = [f"please call my phone +1 (200) 555-{1000 + i} for more" for i in range(60)] + [f"odd place {i} {chr(97 + i % 26)} +1 (300) 555-{2000 + i}" for i in range(20)]
+    found = {r.kind: r for r in pii.recovered(docs_of(spark, rows)).collect()}["phone"]
+    assert 5 <= found.found < found.hidden
+
+
 def test_pii_odd_rows(spark, odd_docs):
     assert pii.detect(odd_docs).count() == odd_docs.count()
     same = pii.redact(odd_docs)
