@@ -189,7 +189,7 @@ hu AS (SELECT u.*, dm.mean AS domain_mean FROM units u JOIN dm USING (suffix, do
 v AS (SELECT host, greatest(0, mean - 1.645 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))) AS bound FROM h),
 j AS (SELECT p.*, bound, CASE {_RULE_CASES} END AS fit FROM p LEFT JOIN v USING (host))
 SELECT page_id, host, path, CASE WHEN fit IS NOT NULL THEN string_split(fit, ' ')[2] END AS rule,
-  CASE WHEN fit IS NOT NULL THEN string_split(fit, ' ')[1] WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM j
+  CASE WHEN fit IS NOT NULL THEN string_split(fit, ' ')[1] WHEN bound > corpus_mean THEN 'block' ELSE 'allow' END AS verdict FROM j, total
 """
 
 

@@ -68,6 +68,54 @@ def test_urls_without_outcomes(spark):
     assert url_reputation.judge(pages.where("false"), none).count() == 0
 
 
+def test_bounds_equal_plain_shrinkage(spark):
+    """Every level recomputed in plain Python, with repeated rows, ties, an empty host, and columns named like results."""
+    import math
+    import random
+    from collections import defaultdict
+
+    draw = random.Random(4)
+    rates = {f"h{i}.d{i % 5}.{('net', 'co.uk', 'org')[i % 3]}": draw.random() for i in range(40)} | {"": 0.5}
+    rows = [(h, int(draw.random() < r)) for h, r in rates.items() for _ in range(draw.randint(0, 30))] + [("h1.d1.co.uk", None)]
+    names = sorted(rates) + ["new.d2.net"]
+    counts = {h: (sum(r[0] == h and r[1] is not None for r in rows), sum(r[1] or 0 for r in rows if r[0] == h)) for h in names}
+
+    def parts(h):
+        p = h.split(".")
+        k = 2 if ".".join(p[-2:]) in url_reputation.LONG_SUFFIXES else 1
+        return ".".join(p[-k:]), ".".join(p[-k - 1 :])
+
+    def shrunk(units):  # key -> (n, bad, parent mean)
+        held = [(n, b, m) for n, b, m in units.values() if n and 0 < m < 1]
+        total = sum(n for n, _, _ in held)
+        room = total - sum(n * n for n, _, _ in held) / total
+        rho = (sum(n * (b / n - m) ** 2 / (m * (1 - m)) for n, b, m in held) - len(held) + 1) / (room - len(held) + 1) if room > len(held) else 0.05
+        kappa = 1 / max(0.001, min(0.5, rho)) - 1
+        return {k: (b + kappa * m, n - b + kappa * (1 - m)) for k, (n, b, m) in units.items()}
+
+    def grouped(key):
+        out = defaultdict(lambda: (0, 0))
+        for h, (n, b) in counts.items():
+            out[key(h)] = out[key(h)][0] + n, out[key(h)][1] + b
+        return out
+
+    mean = lambda ab: ab[0] / sum(ab)
+    corpus = (sum(b for _, b in counts.values()) + 0.2) / (sum(n for n, _ in counts.values()) + 2)
+    suffixes = shrunk({k: (n, b, corpus) for k, (n, b) in grouped(lambda h: parts(h)[0]).items()})
+    domains = shrunk({k: (n, b, mean(suffixes[k[0]])) for k, (n, b) in grouped(parts).items()})
+    hosts = shrunk({h: (n, b, mean(domains[parts(h)])) for h, (n, b) in counts.items()})
+    frame = spark.createDataFrame([(h, 1, "x") for h in names] * 2, "host string, n int, mean string")
+    found = {r.host: r for r in url_reputation.reputations(frame, spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert len(found) == len(names)
+    for h, (a, b) in hosts.items():
+        low = a / (a + b) - 1.645 * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+        assert abs(found[h]["mean"] - a / (a + b)) < 1e-9 and abs(found[h].lower - max(0, low)) < 1e-9
+    pages = spark.createDataFrame([(i, f"x://{h}/", 1, "y", 0.5) for i, h in enumerate(names)] + [(0, "x:///", 1, "y", 0.5)], "page_id bigint, url string, host int, rule string, bound double")
+    verdicts = [(r.page_id, r.verdict) for r in url_reputation.judge(pages, spark.createDataFrame(rows, "host string, bad int"), rules=()).collect()]
+    expected = ["block" if found[h].lower > corpus else "allow" for h in names]
+    assert sorted(verdicts) == sorted([*enumerate(expected), (0, expected[0])]) and {"block", "allow"} == set(expected)
+
+
 def test_registered_sql(spark):
     import glob
     import os
