@@ -7,8 +7,14 @@ fits, the bin is topped up with the start of another example, whose rest stays i
 of the limit is cut back to a power of two, a length that needs no padding.
 
 Packing runs in the partitions of the input, over a pool of bounded size: no shuffle, and no task holds more than
-its pool. Null and empty texts are an example of the end id alone; repeated rows are separate examples; empty input
-gives empty output. A sequence's id holds its partition and its number there.
+its pool. The pool is kept by demand: examples that ask for the same tokens and loss-bearing tokens are one class, and
+a pick weighs classes, not examples. Of m tokens in a pool there are at most some m**(2/3) classes, so many short
+examples cost no more a pick than a few long ones.
+
+Null and empty texts are an example of the end id alone; very long ones are cut into whole sequences at once; repeated
+rows are separate examples; equally good classes are taken in the order they came in; empty input gives empty output.
+Columns but doc_id, text and loss are ignored, whatever their names. A sequence's id holds its partition and its number
+there.
 """
 
 from __future__ import annotations
@@ -62,8 +68,39 @@ class Packer:
 
     def __init__(self, limits: Limits):
         self.limits = limits
-        self.pool: list[Example] = []
         self.tokens = 0
+        self.place: dict[tuple[int, int], int] = {}
+        self.members: list[list[Example]] = []
+        self.size = np.zeros((2, 64), dtype=np.int64)  # tokens and loss-bearing tokens of each class
+        self.count = np.zeros(64, dtype=np.int64)
+
+    def _put(self, e: Example) -> None:
+        """What is left of an example joins its class."""
+        key = len(e.ids) - e.start, e.loss_of(e.start, len(e.ids))
+        if not key[0]:
+            return
+        at = self.place.get(key)
+        if at is None:
+            at = self.place[key] = len(self.members)
+            self.members.append([])
+            if at == len(self.count):
+                self.size = np.concatenate([self.size, np.zeros_like(self.size)], axis=1)
+                self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+            self.size[:, at] = key
+        self.members[at].append(e)
+        self.count[at] += 1
+
+    def _take(self, at: int) -> Example:
+        self.count[at] -= 1
+        return self.members[at].pop()
+
+    def _forget(self) -> None:
+        """Drops the classes without members."""
+        held = np.flatnonzero(self.count[: len(self.members)])
+        self.members = [self.members[i] for i in held.tolist()]
+        self.size = np.concatenate([self.size[:, held], np.zeros((2, 64), np.int64)], axis=1)
+        self.count = np.concatenate([self.count[held], np.zeros(64, np.int64)])
+        self.place = {(int(t), int(x)): i for i, (t, x) in enumerate(self.size[:, : len(held)].T)}
 
     def add(self, example: Example) -> Iterator[list]:
         """Takes an example; what it has in whole sequences leaves at once."""
@@ -71,65 +108,65 @@ class Packer:
             end = example.start + self.limits.tokens
             yield [(example, example.start, end)]
             example.start = end
-        if example.start < len(example.ids):
-            self.pool.append(example)
-            self.tokens += len(example.ids) - example.start
+        self.tokens += len(example.ids) - example.start
+        self._put(example)
 
     def drain(self, down_to: int) -> Iterator[list]:
         """Closes bins until the pool has ``down_to`` tokens at most."""
-        if self.tokens <= down_to:
-            return
-        scale = np.array([self.limits.tokens, self.limits.segments, max(1, self.limits.loss)], dtype=float)
+        if self.tokens > down_to:
+            self._forget()
         while self.tokens > down_to:
-            size = np.array([(len(e.ids) - e.start, 1, e.loss_of(e.start, len(e.ids))) for e in self.pool], dtype=float) / scale
-            alive = np.ones(len(self.pool), dtype=bool)
-            while self.tokens > down_to and alive.any():
-                yield self._bin(size, alive, scale)
-            self.pool = [e for e, a in zip(self.pool, alive) if a]
-
-    def _bin(self, size: np.ndarray, alive: np.ndarray, scale: np.ndarray) -> list:
-        left, pieces = np.ones(3), []
-        eps = 1e-9
-        while True:
-            fits = alive & (size <= left + eps).all(axis=1)
-            if not fits.any():
+            yield self._bin()
+
+    def _bin(self) -> list:
+        lim = self.limits
+        room, segments, loss, pieces = lim.tokens, lim.segments, lim.loss, []
+        while room and segments:
+            n = len(self.members)
+            tokens, bearing = self.size[0, :n], self.size[1, :n]
+            fits = np.flatnonzero((self.count[:n] > 0) & (tokens <= room) & (bearing <= loss))
+            if not len(fits):
                 break
-            score = np.where(fits, size @ left, -1.0)
-            i = int(score.argmax())
-            e = self.pool[i]
-            pieces.append((i, e.start, len(e.ids)))
-            left -= size[i]
-            alive[i] = False
-        used = sum(b - a for _, a, b in pieces)
-        room, segments, loss = (int(round(x)) for x in left * scale)
-        if room > 0 and segments > 0 and alive.any():
+            # Both vectors in parts of the limits; a segment counts the same for all.
+            score = tokens[fits] * (room / lim.tokens**2) + bearing[fits] * (loss / max(1, lim.loss) ** 2)
+            e = self._take(int(fits[score.argmax()]))
+            pieces.append((e, e.start, len(e.ids)))
+            room, segments, loss = room - (len(e.ids) - e.start), segments - 1, loss - e.loss_of(e.start, len(e.ids))
+        if room and segments and self.count.any():
             # None of the rest fits as a whole: the longest one gives its start, the rest stays.
-            i = int(np.where(alive, size[:, 0], -1.0).argmax())
-            e = self.pool[i]
+            e = self._take(int(np.where(self.count > 0, self.size[0], -1).argmax()))
             end = e.reach(e.start, room, loss)
             if end > e.start:
-                pieces.append((i, e.start, end))
-                used += end - e.start
-                self._rest(i, end, size, alive, scale)
-        if used < self.limits.tokens:
-            self._cut_back(pieces, used - (1 << (used.bit_length() - 1)), size, alive, scale)
+                pieces.append((e, e.start, end))
+                room -= end - e.start
+                e.start = end
+            self._put(e)
+        used = lim.tokens - room
+        if room:
+            self._cut_back(pieces, used - (1 << (used.bit_length() - 1)))
         self.tokens -= sum(b - a for _, a, b in pieces)
-        return [(self.pool[i], a, b) for i, a, b in pieces]
-
-    def _rest(self, i: int, start: int, size: np.ndarray, alive: np.ndarray, scale: np.ndarray) -> None:
-        e = self.pool[i]
-        e.start = start
-        alive[i] = start < len(e.ids)
-        size[i] = np.array([len(e.ids) - start, 1, e.loss_of(start, len(e.ids))]) / scale
+        return pieces
 
-    def _cut_back(self, pieces: list, excess: int, size: np.ndarray, alive: np.ndarray, scale: np.ndarray) -> None:
+    def _cut_back(self, pieces: list, excess: int) -> None:
+        """Gives the last ``excess`` tokens back to the pool."""
         while excess:
-            i, a, b = pieces.pop()
+            e, a, b = pieces.pop()
             less = min(excess, b - a)
             excess -= less
             if b - less > a:
-                pieces.append((i, a, b - less))
-            self._rest(i, b - less, size, alive, scale)
+                pieces.append((e, a, b - less))
+            if b < len(e.ids):  # its rest is in the pool already and grows at its front
+                self._drop(e)
+            e.start = b - less
+            self._put(e)
+
+    def _drop(self, e: Example) -> None:
+        at = self.place[len(e.ids) - e.start, e.loss_of(e.start, len(e.ids))]
+        if self.members[at][-1] is e:
+            self.members[at].pop()
+        else:
+            self.members[at].remove(e)
+        self.count[at] -= 1
 
 
 def pack_examples(examples: Iterator[Example], limits: Limits) -> Iterator[list]:

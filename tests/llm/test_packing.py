@@ -54,6 +54,35 @@ def test_loss_limit(spark, tokenizer):
     assert all(sum(p.length for p in parts) == 9 and sum(p.loss_tokens for p in parts) == 4 for parts in by_doc.values())
 
 
+def test_a_million_short_examples():
+    """One class, however many examples: the time a pick takes does not grow with the pool."""
+    import time
+
+    ids, began = np.zeros(1, np.uint32), time.time()
+    sizes = [len(s) for s in packing.pack_examples((packing.Example(i, ids, None) for i in range(1_000_000)), packing.Limits())]
+    assert sum(sizes) == 1_000_000 and set(sizes[:-7]) == {128} and time.time() - began < 60
+
+
+def test_random_demands_under_tight_limits():
+    rng = np.random.default_rng(8)
+    for limits in (packing.Limits(64, 5, 20), packing.Limits(128, 3, 128), packing.Limits(32, 100, 1)):
+        examples = []
+        for i in range(400):
+            ids = np.arange(int(rng.integers(1, 200)), dtype=np.uint32)
+            flags = rng.random(len(ids)) < rng.random()
+            examples.append(packing.Example(i, ids, None if i % 3 == 0 else np.concatenate([[0], flags.cumsum()])))
+        held = {i: [] for i in range(400)}
+        for sequence in packing.pack_examples(iter(examples), limits):
+            total = sum(b - a for _, a, b in sequence)
+            assert 0 < total <= limits.tokens and len(sequence) <= limits.segments and sum(e.loss_of(a, b) for e, a, b in sequence) <= limits.loss
+            assert total == limits.tokens or total & (total - 1) == 0
+            for e, a, b in sequence:
+                held[e.doc_id].append((a, b))
+        for e in examples:
+            parts = sorted(held[e.doc_id])
+            assert parts[0][0] == 0 and parts[-1][1] == len(e.ids) and all(p[1] == q[0] for p, q in zip(parts, parts[1:]))
+
+
 def test_odd_rows(spark, odd_docs, tokenizer):
     pieces = packing.pack(odd_docs, tokenizer).collect()
     assert {p.doc_id for p in pieces} == {1, 2, 3, 4, 5, 6, None}
