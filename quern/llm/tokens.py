@@ -12,12 +12,13 @@ import re
 from array import array
 
 #: Entries a cache holds before it starts anew: a bound on a worker's memory, some 200 bytes each.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_200_000
 #: Longer units are encoded but not remembered.
 LONGEST_KEY = 64
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Letters, then marks other than the apostrophe: two pre-tokens. The letters are those of Latin-1.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters (those of Latin-1), then marks other than the apostrophe are two pre-tokens.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -39,13 +40,14 @@ class _Cache(dict):
 
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
-        self.encoder, self.lead = encoder, lead
+        self.encoder, self.lead, self.tokenize = encoder, lead, encoder.model.tokenize
+        self.shown = encoder.alphabet[32] if lead else ""
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.encoder.entries:
             self.clear()
         if unit.isascii() and unit.isalpha():
-            ids = self.encoder.letters(self.lead, unit)
+            ids = array("I", [t.id for t in self.tokenize(self.shown + unit)]).tobytes()
         else:
             ids = self._mixed(unit)
         if len(unit) <= LONGEST_KEY:
@@ -55,15 +57,20 @@ class _Cache(dict):
     def _mixed(self, unit: str) -> bytes:
         if not unit or unit[0].isspace() or unit[-1].isspace():
             raise _Crowded
-        word = _WORD.fullmatch(unit)
-        if word:
-            return self[word[1]] + self.encoder.plain[word[2]] if word[2] else self.encoder.letters(self.lead, unit)
+        word = unit.rstrip(_MARKS)
+        if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+            return self[word] + self.encoder.plain[unit[len(word) :]] if word != unit else self.letters(unit)
         lines = unit.split("\n")
         if len(lines) > 1 and all(lines) and not any(c.isspace() for line in lines for c in line):
             # A lone line feed between other characters is a pre-token, and the next line starts another.
-            return self[lines[0]] + b"".join(self.encoder.feed + self.encoder.plain[line] for line in lines[1:])
+            return self[lines[0]] + b"".join([self.encoder.feed + self.encoder.plain[line] for line in lines[1:]])
         return self.encoder.whole(self.lead + unit)
 
+    def letters(self, word: str) -> bytes:
+        """A word of letters is one pre-token, which the model takes in the byte alphabet."""
+        shown = word.encode().decode("latin-1").translate(self.encoder.alphabet)
+        return array("I", [t.id for t in self.tokenize(self.shown + shown)]).tobytes()
+
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
@@ -77,7 +84,6 @@ class Encoder:
         # The word cache stands before the model, whose own cache would only cost time.
         getattr(self.model, "_resize_cache", lambda size: None)(0)
         self.alphabet = _byte_alphabet()
-        self.space = self.alphabet[32]
         self.feed = self.whole("\n")
         self.entries = entries
         self.spaced, self.plain = _Cache(self, " "), _Cache(self, "")
@@ -85,11 +91,6 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def letters(self, lead: str, word: str) -> bytes:
-        """A word of letters is one pre-token, which the model takes in the byte alphabet."""
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(self.space + shown if lead else shown)]).tobytes()
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""

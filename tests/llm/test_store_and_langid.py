@@ -10,8 +10,10 @@ from quern.llm import langid, token_store
 
 def test_checksums_join():
     rng = np.random.default_rng(0)
-    parts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 5, 4096, 77)]
-    assert token_store.joined_crc((zlib.crc32(p), len(p)) for p in parts) == zlib.crc32(b"".join(parts))
+    texts = [[rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in sizes] for sizes in ((0, 1, 5, 4096, 77), (9,), (100_003, 0, 3))]
+    parts = [p for t in texts for p in t]
+    crc, size = np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts])
+    assert token_store.joined_crc(crc, size, np.array([0, 5, 6])).tolist() == [zlib.crc32(b"".join(t)) for t in texts]
 
 
 def test_cuts_depend_on_content():
@@ -64,6 +66,35 @@ def test_a_changed_chunk_is_noticed(spark, tokenizer, tmp_path):
         token_store.read_digests(spark, path).collect()
 
 
+def rewritten(spark, path, change):
+    """The store's recipes as ``change`` leaves them, one file a shard."""
+    rows = change(spark.read.schema(token_store.RECIPES).parquet(f"{path}/recipes"))
+    rows.cache().count()
+    held = spark.createDataFrame(rows.collect(), rows.schema)
+    held.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/recipes")
+
+
+@pytest.mark.parametrize("spoil", ["lost", "doubled", "swapped", "renamed", "empty shard"])
+def test_changed_recipes_are_noticed(spark, tokenizer, tmp_path, spoil):
+    docs = spark.createDataFrame([(i, f"alpha beta gamma {i}") for i in range(20)], "doc_id bigint, text string")
+    path = str(tmp_path / "store")
+    token_store.write_store(docs, path, tokenizer)
+    assert token_store.read_digests(spark, path).count() == 20
+    one = F.col("kind").eqNullSafe(0) & (F.col("doc_id") == 7)
+    changes = {
+        "lost": lambda r: r.where(~F.coalesce(one, F.lit(False))),
+        "doubled": lambda r: r.unionByName(r.where(one)),
+        "swapped": lambda r: r.withColumn("position", F.when(F.col("kind") == 0, -F.col("position")).otherwise(F.col("position"))),
+        "renamed": lambda r: r.withColumn("doc_id", F.when(one, 70).otherwise(F.col("doc_id"))),
+        "empty shard": lambda r: r.where("kind = 1 OR shard <> 0"),
+    }
+    rewritten(spark, path, changes[spoil])
+    with pytest.raises(Exception, match="do not match the manifest"):
+        token_store.read_digests(spark, path).collect()
+    with pytest.raises(Exception, match="do not match the manifest"):
+        token_store.read_ids(spark, path).collect()
+
+
 def test_store_odd_rows(spark, odd_docs, tokenizer, tmp_path):
     for name, docs in (("full", odd_docs), ("empty", odd_docs.where("false"))):
         path = str(tmp_path / name)
