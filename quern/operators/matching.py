@@ -5,6 +5,8 @@ A group is one sample's candidate pairs; samples are small by nature and indepen
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,14 +79,20 @@ def suppress(boxes: DataFrame, sample: str, most_overlap: float) -> DataFrame:
     return boxes.groupBy(sample).applyInPandas(solve, boxes.select(sample, "box").schema)
 
 
-def fuzzy_dedupe(labels: DataFrame, sample: str, label: str, overlap: float = 0.3) -> DataFrame:
-    """Within a sample, longest first: a label goes if it is part of a kept one or shares over ``overlap`` of its words with it."""
+def _alike(a: str, b: str, ratio: float) -> bool:
+    match = SequenceMatcher(None, a, b, autojunk=False)
+    return match.real_quick_ratio() > ratio and match.quick_ratio() > ratio and match.ratio() > ratio
+
+
+def fuzzy_dedupe(labels: DataFrame, sample: str, label: str, overlap: float = 0.3, ratio: float = 0.9) -> DataFrame:
+    """Within a sample, longest first: a label goes if its string ratio with a kept one exceeds ``ratio``, if it is part
+    of it, or if it shares over ``overlap`` of its words with it."""
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[str] = []
         for text in sorted(set(group[label]), key=lambda t: (-len(t), t)):
             words = set(text.split())
-            if not any(text in k or (words and len(words & set(k.split())) / len(words) > overlap) for k in kept):
+            if not any(text in k or (words and len(words & set(k.split())) / len(words) > overlap) or _alike(text, k, ratio) for k in kept):
                 kept.append(text)
         return pd.DataFrame({sample: [group[sample].iloc[0]] * len(kept), label: kept})
 

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 
 def shared_core(labels: DataFrame, cluster: str, label: str) -> DataFrame:
-    """(cluster, n, core): the words of at least max(2, half) of a cluster's distinct labels, sorted; null without any."""
-    words = labels.select(cluster, label, F.explode(F.array_distinct(F.split(label, " "))).alias("w")).where("w <> ''")
-    sizes = labels.groupBy(cluster).agg(F.count("*").alias("n"))
-    common = words.groupBy(cluster, "w").agg(F.countDistinct(label).alias("k")).join(sizes, cluster).where(F.col("k") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2)))
-    core = common.groupBy(cluster).agg(F.array_join(F.sort_array(F.collect_list("w")), " ").alias("core"))
-    return sizes.join(core, cluster, "left")
+    """(cluster, n, core, hypernym, head) over a cluster's distinct labels.
+
+    The core is the words that at least max(2, half) of the labels have, in the order of the label with the most words;
+    null without any. The hypernym is the core, unless that is just the longest label. The head is the most frequent
+    last word. Ties go by the alphabet.
+    """
+    distinct = labels.select(cluster, F.lower(label).alias("l")).distinct().withColumn("t", F.filter(F.split("l", r"\s+"), lambda w: w != ""))
+    per_word = distinct.select(cluster, F.explode(F.array_distinct("t")).alias("w")).groupBy(cluster, "w").agg(F.count("*").alias("k"))
+    per_head = distinct.select(cluster, F.element_at("t", -1).alias("h")).groupBy(cluster, "h").agg(F.count("*").alias("k"))
+    heads = per_head.groupBy(cluster).agg(F.min(F.struct(-F.col("k"), "h"))["h"].alias("head"))
+    sizes = distinct.groupBy(cluster).agg(F.count("*").alias("n"), F.min(F.struct(-F.size("t"), "l", "t"))["t"].alias("anchor"), F.min(F.struct(-F.length("l"), "l"))["l"].alias("longest"))
+    shared = per_word.join(sizes.select(cluster, "n"), cluster).where(F.col("k") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2))).groupBy(cluster).agg(F.collect_list("w").alias("shared"))
+    joined = sizes.join(heads, cluster).join(shared, cluster, "left")
+    core = F.array_join(F.filter("anchor", lambda w: F.array_contains("shared", w)), " ")
+    core = joined.withColumn("core", F.when(F.col("shared").isNotNull() & (core != ""), core))
+    return core.select(cluster, "n", "core", F.when(F.col("core") != F.col("longest"), F.col("core")).alias("hypernym"), "head")
 
 
 def containment(labels: DataFrame, cluster: str, label: str) -> DataFrame:

@@ -37,6 +37,22 @@ def normalised(a: str) -> Column:
     return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def _blocks(rows: DataFrame, row_id: str, vector: str, others: list[str], block_bytes: int) -> Iterator[tuple]:
+    """(ids, unit vectors, other columns) of blocks of rows that fit ``block_bytes`` each, one at a time."""
+    total = rows.count()
+    width = rows.select(F.max(F.size(vector))).first()[0] or 1
+    blocks = -(-total // max(1, block_bytes // (8 * width))) or 1
+    for block in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == block)
+        held = part.select(F.col(row_id).cast("bigint"), vector, *others).toArrow()
+        yield held.column(0).to_numpy(), _units(held.column(1).to_pylist(), width), [held.column(k + 2).to_numpy() for k in range(len(others))]
+
+
+def _units(vectors: list, width: int) -> np.ndarray:
+    matrix = np.array(vectors, dtype=np.float64).reshape(len(vectors), width)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "q_id", row_id: str = "vec_id", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, row_id, sim, rank): the k most cosine-similar rows of each query, ties by row id. Exact.
 
@@ -46,17 +62,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "q_id", r
     """
     spark = rows.sparkSession
     schema = f"{query_id} bigint, {row_id} bigint, sim double"
-    total = queries.count()
-    width = queries.select(F.max(F.size(vector))).first()[0] or 1
-    per_block = max(1, block_bytes // (4 * width))
-    blocks = -(-total // per_block) or 1
     found = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
-        held = part.select(F.col(query_id).cast("bigint"), vector).toArrow()
-        ids = held.column(0).to_numpy()
-        matrix = np.array(held.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), width)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    for ids, matrix, _ in _blocks(queries, query_id, vector, [], block_bytes):
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -66,8 +73,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "q_id", r
             for batch in batches:
                 if not batch.num_rows or not len(q_ids):
                     continue
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                v = _units(batch.column(1).to_pylist(), q.shape[1])
                 sim = np.concatenate([kept_sim, np.round(q @ v.T, 6)], axis=1)
                 row = np.concatenate([kept_id, np.tile(batch.column(0).to_numpy(), (len(q_ids), 1))], axis=1)
                 order = np.lexsort((row, -sim), axis=1)[:, :k]
@@ -81,6 +87,83 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "q_id", r
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def first_ranks(queries: DataFrame, rows: DataFrame, label: str, query_label: str, query_id: str = "q_id", row_id: str = "vec_id", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, rank): of each query with another row of its label, the rank of the most similar one among all other rows.
+
+    Two passes over the rows, each with one row a query and task: the best relevant row, then how many come before it.
+    """
+    spark = rows.sparkSession
+    held = rows.select(F.col(row_id).cast("bigint").alias(row_id), vector, F.col(label).cast("bigint").alias(label))
+    found = None
+    for ids, matrix, (own,) in _blocks(queries, query_id, vector, [query_label], block_bytes):
+        shared = spark.sparkContext.broadcast((ids, matrix, own))
+
+        def scored(batch: pa.RecordBatch, q_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            row = batch.column(0).to_numpy()
+            sim = np.round(q @ _units(batch.column(1).to_pylist(), q.shape[1]).T, 6)
+            return np.where(row[None, :] == q_ids[:, None], -np.inf, sim), row
+
+        def relevant(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q_ids, q, q_label = shared.value
+            top, which = np.full(len(q_ids), -np.inf), np.zeros(len(q_ids), np.int64)
+            for batch in batches:
+                if batch.num_rows and len(q_ids):
+                    sim, row = scored(batch, q_ids, q)
+                    sim = np.where(batch.column(2).to_numpy()[None, :] == q_label[:, None], sim, -np.inf)
+                    order = np.lexsort((np.tile(row, (len(q_ids), 1)), -sim), axis=1)[:, 0]
+                    s, r = sim[np.arange(len(q_ids)), order], row[order]
+                    better = (s > top) | ((s == top) & (r < which))
+                    top, which = np.where(better, s, top), np.where(better, r, which)
+            some = top > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[some]), pa.array(top[some]), pa.array(which[some])], names=[query_id, "sim", "row"])
+
+        best = held.mapInArrow(relevant, f"{query_id} bigint, sim double, row bigint").groupBy(query_id).agg(F.min(F.struct((-F.col("sim")).alias("sim"), "row")).alias("b"))
+        known = best.select(query_id, (-F.col("b.sim")).alias("sim"), "b.row").toArrow()  # as many rows as queries in the block
+        best_of = spark.sparkContext.broadcast((known.column(0).to_numpy(), known.column(1).to_numpy(), known.column(2).to_numpy()))
+
+        def before(batches: Iterator[pa.RecordBatch], shared=shared, best_of=best_of) -> Iterator[pa.RecordBatch]:
+            q_ids, q, _ = shared.value
+            names, sims, firsts = best_of.value
+            at = np.argsort(q_ids)[np.searchsorted(np.sort(q_ids), names)] if len(names) else np.zeros(0, int)
+            count = np.zeros(len(names), np.int64)
+            for batch in batches:
+                if batch.num_rows and len(names):
+                    sim, row = scored(batch, q_ids[at], q[at])
+                    count += ((sim > sims[:, None]) | ((sim == sims[:, None]) & (row[None, :] < firsts[:, None]))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(count)], names=[query_id, "n"])
+
+        ranks = held.mapInArrow(before, f"{query_id} bigint, n bigint").groupBy(query_id).agg((F.sum("n") + 1).alias("rank"))
+        found = ranks if found is None else found.unionByName(ranks)
+    return found
+
+
+def link_counts(rows: DataFrame, least: float, row_id: str = "vec_id", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(row_id, class_id, n_links) of every row: the least id with an equal vector, and how many other rows are at least ``least`` alike.
+
+    Exact, over all pairs of distinct vectors, block by block; equal rows are compared once and counted as often as
+    they occur. A task sends one number a row and block; pairs are never formed.
+    """
+    spark = rows.sparkSession
+    numbered = rows.select(F.col(row_id).cast("bigint").alias(row_id), F.col(vector).alias(vector))
+    classes = numbered.groupBy(vector).agg(F.min(row_id).alias("class_id"), F.count("*").alias("copies"))
+    found = None
+    for ids, matrix, (copies,) in _blocks(classes, "class_id", vector, ["copies"], block_bytes):
+        shared = spark.sparkContext.broadcast((ids, matrix, copies))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q, times = shared.value
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                sim = np.round(_units(batch.column(1).to_pylist(), q.shape[1]) @ q.T, 6)
+                links = (sim >= least) @ times - ((sim >= least) & (own[:, None] == names[None, :])).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(links.astype(np.int64))], names=["class_id", "n"])
+
+        part = classes.select("class_id", vector).mapInArrow(count, "class_id bigint, n bigint")
+        found = part if found is None else found.unionByName(part)
+    links = found.groupBy("class_id").agg(F.sum("n").alias("n_links"))
+    return numbered.join(classes.select(F.col(vector).alias("_v"), "class_id"), F.col(vector) == F.col("_v")).select(row_id, "class_id").join(links, "class_id").select(row_id, "class_id", "n_links")
+
+
 def centroids(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
     """(by, centroid): the mean vector of each group, by position; partial sums before the shuffle."""
     cells = rows.select(by, F.posexplode(vector).alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

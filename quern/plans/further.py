@@ -43,12 +43,10 @@ def k05(spark, folder):
     return read.select("user_id", F.size("rows").cast("bigint").alias("n"), F.round(F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["value"]), 4).alias("total"))
 
 
-@register("j10_similarity_join", f"WITH {E_SQL} SELECT q.vec_id AS q_id, r.vec_id, round(list_inner_product(q.v, r.v) / (q.s * r.s), 6) AS sim FROM e q, e r WHERE q.vec_id % 50 = 0 AND round(list_inner_product(q.v, r.v) / (q.s * r.s), 6) >= 0.5")
+@register("j10_similarity_join", f"WITH {E_SQL} SELECT a.vec_id, min(b.vec_id) FILTER (a.v = b.v) AS class_id, (count(*) FILTER (round(list_inner_product(a.v, b.v) / (a.s * b.s), 6) >= 0.5 AND a.vec_id <> b.vec_id))::bigint AS n_links FROM e a, e b GROUP BY a.vec_id")
 def j10(spark, folder):
-    """All pairs of a query and a row at least 0.5 alike."""
-    rows = embeddings(spark, folder)
-    near = vec.top_k(queries(spark, folder), rows, rows.count())
-    return near.where("sim >= 0.5").select("q_id", "vec_id", "sim")
+    """Every row with its class of equal vectors and the number of rows at least 0.5 alike."""
+    return vec.link_counts(table(spark, folder, "embeddings"), 0.5)
 
 
 @register("a28_mean_and_std", "SELECT i::bigint AS i, round(avg(x), 6) AS mean, round(sqrt(avg(x * x) - avg(x) * avg(x)), 6) AS std FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::double AS x FROM embeddings) GROUP BY i")

@@ -67,30 +67,33 @@ def j05(spark, folder):
     return best.withColumn("i", first).where("i = 1").select(F.col("q_id").alias("vec_id"), F.when(F.col("sim") >= 0.6, F.col("vec_id")).alias("near"), "sim")
 
 
-PAIRS = f"{E_SQL}, p AS (SELECT a.label, a.vec_id AS l, b.vec_id AS r, round(list_inner_product(a.v, b.v) / (a.s * b.s), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 20 = 0 AND b.vec_id % 20 = 1)"
+PAIRS = f"{E_SQL}, p AS (SELECT a.vec_id // 100 AS sample, a.vec_id AS l, b.vec_id AS r, round(list_inner_product(a.v, b.v) / (a.s * b.s), 6) AS sim FROM e a JOIN e b ON a.vec_id // 100 = b.vec_id // 100 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)"
 
 
-def label_pairs(spark, folder):
-    """Two small stated sets of each label's rows (ids 0 and 1 modulo 20) and their similarities."""
-    rows = embeddings(spark, folder)
-    left = rows.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("l"), F.col("embedding").alias("a"))
-    right = rows.where("vec_id % 20 = 1").select("label", F.col("vec_id").alias("r"), F.col("embedding").alias("b"))
-    return left.join(right, "label").select("label", "l", "r", F.round(vec.cosine("a", "b"), 6).alias("sim"))
+def sample_pairs(spark, folder):
+    """Every row belongs to a sample, a hundred successive ids; its even ids are one side, its odd ids the other.
+
+    A sample has at most 50 * 50 pairs, so there are 25 a row, however many rows there are.
+    """
+    rows = embeddings(spark, folder).withColumn("sample", F.floor(F.col("vec_id") / 100).cast("bigint"))
+    left = rows.where("vec_id % 2 = 0").select("sample", F.col("vec_id").alias("l"), F.col("embedding").alias("a"))
+    right = rows.where("vec_id % 2 = 1").select("sample", F.col("vec_id").alias("r"), F.col("embedding").alias("b"))
+    return left.join(right, "sample").select("sample", "l", "r", F.round(vec.cosine("a", "b"), 6).alias("sim"))
 
 
-@register("j06_mutual_best", f"WITH {PAIRS} SELECT label, l, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY label, l ORDER BY sim DESC, r) AS x, row_number() OVER (PARTITION BY label, r ORDER BY sim DESC, l) AS y FROM p) WHERE x = 1 AND y = 1")
+@register("j06_mutual_best", f"WITH {PAIRS} SELECT sample, l, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY sample, l ORDER BY sim DESC, r) AS x, row_number() OVER (PARTITION BY sample, r ORDER BY sim DESC, l) AS y FROM p) WHERE x = 1 AND y = 1")
 def j06(spark, folder):
-    return vec.mutual_best(label_pairs(spark, folder), "label", "l", "r", "sim")
+    return vec.mutual_best(sample_pairs(spark, folder), "sample", "l", "r", "sim")
 
 
 @register("j07_bipartite_matching")
 def j07(spark, folder):
-    return matching.maximum(label_pairs(spark, folder), "label", "l", "r", "sim", 0.2)
+    return matching.maximum(sample_pairs(spark, folder), "sample", "l", "r", "sim", 0.2)
 
 
 @register("j12_greedy_connection")
 def j12(spark, folder):
-    return matching.greedy(label_pairs(spark, folder), "label", "l", "r", "sim", 0.0)
+    return matching.greedy(sample_pairs(spark, folder), "sample", "l", "r", "sim", 0.0)
 
 
 @register("t02_top_k_cosine", f"WITH {SIM_SQL} SELECT q_id, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS i FROM sim) WHERE i <= 10")
@@ -141,9 +144,8 @@ def r07(spark, folder):
 
 @register("r08_rank_statistics", f"WITH {RANK_SQL}, f AS (SELECT q_id, min(rank) AS r FROM rk WHERE label = q_label GROUP BY q_id) SELECT round(avg(r), 6) AS mean_rank, median(r) AS median_rank, round(avg((r <= 1)::int), 6) AS r1, round(avg((r <= 5)::int), 6) AS r5, round(avg((r <= 10)::int), 6) AS r10 FROM f")
 def r08(spark, folder):
-    """Rank of the best relevant row of each query among all rows."""
-    hits, _ = ranked(spark, folder, embeddings(spark, folder).count())
-    first = hits.where("relevant").groupBy("q_id").agg(F.min("rank").alias("r"))
+    """Rank of the best relevant row of each query among all rows: one more than the rows that come before it."""
+    first = vec.first_ranks(queries(spark, folder), embeddings(spark, folder), "label", "q_label").select("q_id", F.col("rank").alias("r"))
     at = lambda k: F.round(F.avg((F.col("r") <= k).cast("int")), 6).alias(f"r{k}")
     return first.agg(F.round(F.avg("r"), 6).alias("mean_rank"), F.percentile("r", F.lit(0.5)).alias("median_rank"), at(1), at(5), at(10))
 

@@ -131,9 +131,13 @@ def x18(spark, folder):
 
 
 
-@register("x19_canonical_label", """WITH l AS (SELECT DISTINCT p_partkey % 40 AS cluster, lower(p_name) AS label FROM part), t AS (SELECT DISTINCT cluster, label, unnest(string_split(label, ' ')) AS w FROM l),
-s AS (SELECT cluster, count(*) AS n FROM l GROUP BY cluster), c AS (SELECT t.cluster, w, count(DISTINCT label) AS k, max(n) AS n FROM t JOIN s ON s.cluster = t.cluster WHERE w <> '' GROUP BY t.cluster, w),
-h AS (SELECT cluster, string_agg(w, ' ' ORDER BY w) AS core FROM c WHERE k >= greatest(2, ceil(n / 2)) GROUP BY cluster) SELECT s.cluster, n, core FROM s LEFT JOIN h ON h.cluster = s.cluster""")
+@register("x19_canonical_label", """WITH l AS (SELECT DISTINCT p_partkey % 40 AS cluster, lower(p_name) AS label, string_split(lower(p_name), ' ') AS t FROM part),
+w AS (SELECT cluster, w, count(*) AS k FROM (SELECT cluster, unnest(list_distinct(t)) AS w FROM l) GROUP BY ALL), s AS (SELECT cluster, count(*) AS n FROM l GROUP BY cluster),
+h AS (SELECT cluster, list(w) AS shared FROM w JOIN s USING (cluster) WHERE k >= greatest(2, ceil(n / 2)) GROUP BY cluster),
+a AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY len(t) DESC, label) AS i, row_number() OVER (PARTITION BY cluster ORDER BY length(label) DESC, label) AS j FROM l),
+e AS (SELECT cluster, t[-1] AS head, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, t[-1]) AS i FROM l GROUP BY cluster, t[-1]),
+c AS (SELECT s.cluster, n, nullif(array_to_string(list_filter(a.t, lambda x: list_contains(shared, x)), ' '), '') AS core FROM s JOIN a ON a.cluster = s.cluster AND a.i = 1 LEFT JOIN h ON h.cluster = s.cluster)
+SELECT c.cluster, n, core, CASE WHEN core <> b.label THEN core END AS hypernym, head FROM c JOIN a b ON b.cluster = c.cluster AND b.j = 1 JOIN e ON e.cluster = c.cluster AND e.i = 1""")
 def x19(spark, folder):
     """The words that at least half of a cluster's labels share."""
     labels = table(spark, folder, "part").select((F.col("p_partkey") % 40).alias("cluster"), F.lower("p_name").alias("label")).distinct()

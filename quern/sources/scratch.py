@@ -12,6 +12,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder below the session's shared checkpoint folder; a local one only if the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quern-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -60,6 +60,36 @@ def test_fuzzy_dedupe_keeps_the_longest(spark):
     assert {r.l for r in matching.fuzzy_dedupe(labels, "s", "l").collect()} == {"red cross badge", "blue bird"}
 
 
+def test_fuzzy_dedupe_by_string_ratio(spark):
+    labels = spark.createDataFrame([(1, "colour photograph"), (1, "color-photograph"), (1, "sound")], "s int, l string")
+    assert {r.l for r in matching.fuzzy_dedupe(labels, "s", "l", ratio=0.85).collect()} == {"colour photograph", "sound"}
+    assert len(matching.fuzzy_dedupe(labels, "s", "l", ratio=0.99).collect()) == 3
+
+
+def test_core_keeps_the_order_of_the_label(spark):
+    rows = [(1, f"red cross {x}") for x in ("badge", "banner", "emblem", "flag", "pin", "poster", "sign", "symbol")] + [(1, "blue cross"), (1, "green cross"), (2, "alone"), (3, "a b"), (3, "c d")]
+    found = {r.cluster: r for r in naming.shared_core(spark.createDataFrame(rows, "cluster int, label string"), "cluster", "label").collect()}
+    assert (found[1].core, found[1].hypernym, found[1].n, found[1].head) == ("red cross", "red cross", 10, "cross")
+    assert found[2].core is None and found[3].core is None and found[3].head == "b"
+    same = spark.createDataFrame([(1, "glee club"), (1, "glee club")], "cluster int, label string")
+    assert naming.shared_core(same, "cluster", "label").first().hypernym is None
+
+
+def test_link_counts_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = np.round(rng.normal(size=(40, 6)), 3)
+    rows = [(i, base[i % 30].tolist()) for i in range(70)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    unit = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (np.round(unit @ unit.T, 6) >= 0.5).sum(axis=1) - 1
+    for size in (1 << 20, 8 * 6 * 7):
+        found = {r.vec_id: (r.class_id, r.n_links) for r in vectors.link_counts(frame, 0.5, block_bytes=size).collect()}
+        assert found == {i: (i % 30, links[i]) for i in range(70)}
+
+
 def test_shared_core_and_containment(spark):
     rows = [(1, "black aircraft"), (1, "white aircraft"), (1, "yellow aircraft"), (2, "bridge"), (2, "arch bridge"), (2, "concrete bridge"), (3, "club"), (3, "glee club"), (3, "sport club")]
     labels = spark.createDataFrame(rows, "cluster int, label string")
