@@ -190,7 +190,8 @@ def classes(members: DataFrame, edges: DataFrame) -> DataFrame:
     """
     roots = stars(edges)
     rooted = members.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("least"))
+    rooted = checkpointed(rooted)
+    least = checkpointed(rooted.groupBy("root").agg(F.min("id").alias("least")))
     return rooted.join(least, "root").select("node", "least")
 
 
