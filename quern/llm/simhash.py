@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import golay
-from quern.llm.common import checkpointed, fresh, text_or_empty
+from quern.llm.common import checkpointed, fresh, materialize, shared_dir, text_or_empty
 from quern.llm.components import stars
 
 #: Fixed value: seed of the shingle hash.
@@ -301,8 +301,12 @@ KEYED = "key bigint, node bigint, size bigint, pos bigint, code bigint, label bi
 
 
 def _meet(keyed: DataFrame, similarity: float, most: int, every: bool) -> DataFrame:
-    """KEYED -> (a, b) pairs to verify, and KEYED rows of long runs with null a, unless ``every`` is set."""
+    """KEYED -> (a, b) pairs to verify, and KEYED rows of long runs with null a, unless ``every`` is set.
+
+    Rows that come without a label are each on their own: their node is their label, and need not travel twice.
+    """
     names = [part.split()[0] for part in KEYED.split(", ")]
+    sent = [n for n in names if n in keyed.columns]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows):
@@ -320,7 +324,8 @@ def _meet(keyed: DataFrame, similarity: float, most: int, every: bool) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {n: batch.column(n).to_numpy() for n in names}
+            rows = {n: batch.column(n).to_numpy() for n in sent}
+            rows.setdefault("label", rows["node"])
             rows["code"] = rows["code"].view(np.uint64)
             if held is not None:
                 rows = {n: np.concatenate([held[n], rows[n]]) for n in names}
@@ -352,7 +357,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
                 good.append(shared + 1e-9 >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("id.same").alias("same"))
+    folder = shared_dir(docs.sparkSession)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node").select(F.col("id.same").alias("same"))
+    wanted = materialize(wanted, f"{folder}/wanted")  # few as a rule: its size decides whether the texts have to move
     chosen = docs.select(_same(docs).alias("same"), _node(docs).alias("node"), text_or_empty(docs).alias("text")).join(wanted, "same", "left_semi")
     found = checkpointed(chosen.select("node", "text").mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"]))
     left = found.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
@@ -373,13 +380,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     A group keeps its least doc_id (nulls last), of rows with that id the one with the least ``same``.
     """
-    found = checkpointed(sketches(docs, similarity, shingle))
-    nodes = checkpointed(found.groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("id"), *[F.first(c).alias(c) for c in ("size", "code", "keys")]))
+    folder = shared_dir(docs.sparkSession)
+    nodes = materialize(sketches(docs, similarity, shingle).groupBy("node").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("id"), *[F.first(c).alias(c) for c in ("size", "code", "keys")]), f"{folder}/nodes")
     most = most_bits(similarity, 64, 5.0)
     keyed = nodes.select("node", "size", "code", F.posexplode("keys").alias("pos", "key"))
     names = [part.split()[0] for part in KEYED.split(", ")]
-    met = checkpointed(_meet(keyed.select("key", "node", "size", F.col("pos").cast("bigint").alias("pos"), "code", F.col("node").alias("label")), similarity, most, False))
+    alone = keyed.select("key", "node", "size", F.col("pos").cast("bigint").alias("pos"), "code")
+    met = materialize(_meet(alone, similarity, most, False), f"{folder}/met")
     edges = verified(docs, nodes, met.where("a IS NOT NULL").select("a", "b").distinct(), similarity, shingle)
     # Long runs left a star each: what its verified links have not connected is compared in whole.
     long = met.where("a IS NULL").drop("a", "b", "label").join(stars(edges).withColumnRenamed("root", "label"), "node", "left")
