@@ -27,23 +27,32 @@ def shared_core(labels: DataFrame, cluster: str, label: str) -> DataFrame:
     return core.select(cluster, "n", "core", F.when(F.col("core") != F.col("longest"), F.col("core")).alias("hypernym"), "head")
 
 
+def plain_words(label: str):
+    """Array of a label's words, lower-cased and without punctuation at their ends."""
+    stripped = F.transform(F.split(F.lower(label), r"\s+"), lambda w: F.regexp_replace(w, r"[.,;:!?]+$", ""))
+    return F.filter(stripped, lambda w: w != "")
+
+
 def containment(labels: DataFrame, cluster: str, label: str) -> DataFrame:
     """(cluster, label, share): in what share of the other labels of its cluster all words of a label occur.
 
-    Labels meet through their words: a label contains another if it has as many of its words as it has.
+    A label meets only the labels that have its rarest word of the cluster, and those are compared whole. A label
+    without words has share 0.
     """
-    words = labels.select(cluster, label, F.explode(F.array_distinct(F.split(label, " "))).alias("w")).where("w <> ''")
-    sizes = words.groupBy(cluster, label).agg(F.count("*").alias("size"))
-    other = words.withColumnRenamed(label, "_other")
-    hits = words.join(other, [cluster, "w"]).where(F.col(label) != F.col("_other")).groupBy(cluster, label, "_other").agg(F.count("*").alias("common"))
-    whole = hits.join(sizes, [cluster, label]).where("common = size").groupBy(cluster, label).agg(F.count("*").alias("k"))
-    counts = labels.groupBy(cluster).agg(F.countDistinct(label).alias("n"))
-    joined = labels.select(cluster, label).distinct().join(whole, [cluster, label], "left").join(counts, cluster)
+    words = labels.select(cluster, label).distinct().withColumn("_t", F.array_distinct(plain_words(label)))
+    each = words.select(cluster, label, "_t", F.explode("_t").alias("w"))
+    per_word = each.groupBy(cluster, "w").agg(F.count("*").alias("_n"))
+    rarest = each.join(per_word, [cluster, "w"]).groupBy(cluster, label).agg(F.min(F.struct("_n", "w"))["w"].alias("w"), F.first("_t").alias("_own"))
+    other = each.select(cluster, "w", F.col(label).alias("_other"), "_t")
+    hits = rarest.join(other, [cluster, "w"]).where((F.col(label) != F.col("_other")) & (F.size(F.array_except("_own", "_t")) == 0))
+    whole = hits.groupBy(cluster, label).agg(F.count("*").alias("k"))
+    counts = words.groupBy(cluster).agg(F.count("*").alias("n"))
+    joined = words.select(cluster, label).join(whole, [cluster, label], "left").join(counts, cluster)
     return joined.select(cluster, label, F.when(F.col("n") > 1, F.coalesce("k", F.lit(0)) / (F.col("n") - 1)).otherwise(F.lit(0.0)).alias("share"))
 
 
 def bleu(pairs: DataFrame, keys: Sequence[str], candidate: str, reference: str, order: int) -> DataFrame:
-    """Corpus BLEU of token arrays with runs of one to ``order`` tokens."""
+    """Corpus BLEU of token arrays with runs of one to ``order`` tokens; 0 if the runs of any size share nothing."""
 
     def runs(column: str) -> DataFrame:
         sized = [_runs(column, g) for g in range(1, order + 1)]
@@ -53,7 +62,8 @@ def bleu(pairs: DataFrame, keys: Sequence[str], candidate: str, reference: str,
     hits = ours.join(theirs, [*keys, "r"], "left").groupBy("r.g").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("hit"), F.sum("n").alias("total"))
     c, r = (pairs.agg(F.sum(F.size(x))).scalar() for x in (candidate, reference))
     brevity = F.when(c > r, 1.0).otherwise(F.exp(1 - r / c))
-    return hits.agg(F.avg(F.ln(F.col("hit") / F.col("total"))).alias("mean")).select(F.round(F.exp("mean") * brevity, 6).alias("bleu"))
+    means = hits.agg(F.avg(F.ln(F.nullif(F.col("hit"), F.lit(0)) / F.col("total"))).alias("mean"), F.count_if(F.col("hit") > 0).alias("sizes"))
+    return means.select(F.when(F.col("sizes") < order, 0.0).otherwise(F.round(F.exp("mean") * brevity, 6)).alias("bleu"))
 
 
 def _runs(column: str, g: int):

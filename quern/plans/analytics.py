@@ -46,13 +46,27 @@ def a07(spark, folder):
     return dist.power_law(counts(spark, folder, "lang"), ["lang"], "w").select("lang", F.round("exponent", 6).alias("exponent"))
 
 
-@register("a08_tier_stats", f"""WITH {COUNTS}, m AS (SELECT lang, avg(n) AS mu, stddev_pop(n) AS sd FROM c GROUP BY lang)
-SELECT c.lang, round(max(mu), 6) AS mean, round(median(n), 6) AS median, round(max(sd), 6) AS std, round(max(sd) / max(mu), 6) AS cv,
- round(avg(pow((n - mu) / sd, 3)), 4) AS skew, round(quantile_cont(n, 0.9), 6) AS p90 FROM c JOIN m ON c.lang = m.lang GROUP BY c.lang""")
+#: Label counts from which a label is head or torso.
+HEAD, TORSO = 100, 10
+
+
+@register("a08_tier_stats", f"""WITH {TOK}, c AS (SELECT w, count(*) AS n FROM t GROUP BY w), g AS (SELECT *, CASE WHEN n >= {HEAD} THEN 'head' WHEN n >= {TORSO} THEN 'torso' ELSE 'tail' END AS tier FROM c), m AS (SELECT tier, avg(n) AS mu, stddev_pop(n) AS sd FROM g GROUP BY tier)
+SELECT g.tier, count(*) AS n_labels, round(max(mu), 6) AS mean, round(median(n), 6) AS median, round(max(sd), 6) AS std, round(max(sd) / max(mu), 6) AS cv, round(coalesce(avg(pow((n - mu) / nullif(sd, 0), 3)), 0), 4) AS skew,
+ round(quantile_cont(n, 0.9), 6) AS p90, round(sum(n)::double / (SELECT sum(n) FROM c), 6) AS coverage FROM g JOIN m ON g.tier = m.tier GROUP BY g.tier""")
 def a08(spark, folder):
-    return counts(spark, folder, "lang").groupBy("lang").agg(
-        F.round(F.avg("n"), 6).alias("mean"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("median"), F.round(F.stddev_pop("n"), 6).alias("std"),
-        F.round(F.stddev_pop("n") / F.avg("n"), 6).alias("cv"), F.round(F.skewness("n"), 4).alias("skew"), F.round(F.percentile("n", F.lit(0.9)), 6).alias("p90"))
+    """Label counts within head, torso and tail, from the counts of their distinct values."""
+    n, k = F.col("n").cast("double"), F.col("k")
+    tier = F.when(F.col("n") >= HEAD, "head").when(F.col("n") >= TORSO, "torso").otherwise("tail")
+    values = counts(spark, folder).groupBy("n").agg(F.count("*").alias("k")).withColumn("tier", tier)
+    total = values.agg(F.sum(F.col("n") * k)).scalar()
+    mean = values.groupBy("tier").agg((F.sum(n * k) / F.sum(k)).alias("mu"))
+    spread = values.join(mean, "tier").groupBy("tier").agg(
+        F.sum("k").alias("n_labels"), F.first("mu").alias("mu"), F.sqrt(F.sum(k * (n - F.col("mu")) ** 2) / F.sum(k)).alias("sd"), (F.sum(k * (n - F.col("mu")) ** 3) / F.sum(k)).alias("third"),
+        F.percentile("n", F.lit(0.5), F.col("k")).alias("median"), F.percentile("n", F.lit(0.9), F.col("k")).alias("p90"), F.sum(F.col("n") * k).alias("own"))
+    sd = F.col("sd")
+    return spread.select(
+        "tier", "n_labels", F.round("mu", 6).alias("mean"), F.round("median", 6).alias("median"), F.round(sd, 6).alias("std"), F.round(sd / F.col("mu"), 6).alias("cv"),
+        F.round(F.when(sd > 0, F.col("third") / sd**3).otherwise(0.0), 4).alias("skew"), F.round("p90", 6).alias("p90"), F.round(F.col("own") / total, 6).alias("coverage"))
 
 
 @register("a09_year_stats", """WITH y AS (SELECT o_orderpriority AS g, year(o_orderdate)::double AS y FROM orders), m AS (SELECT g, avg(y) AS mu, stddev_samp(y) AS sd, count(*) AS n FROM y GROUP BY g),

@@ -62,18 +62,6 @@ def p07(spark, folder):
     return clustering.ward(vec.centroids(groups, "g"), "g", "centroid")
 
 
-@register("p10_canonical_label", """WITH l AS (SELECT p_partkey % 40 AS cluster, lower(p_name) AS label, count(*) AS f FROM part GROUP BY ALL), m AS (SELECT cluster, max(f) AS top FROM l GROUP BY cluster),
-s AS (SELECT l.cluster, label, f, round(0.5::double * f / top + 0.3::double / len(string_split(label, ' ')) + 0.2::double / length(label), 9) AS score FROM l JOIN m ON l.cluster = m.cluster),
-r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, label) AS i FROM s) SELECT cluster, label AS canonical, score FROM r WHERE i = 1""")
-def p10(spark, folder):
-    """The label of each cluster with the best mix of frequency, generality and brevity."""
-    labels = table(spark, folder, "part").groupBy((F.col("p_partkey") % 40).alias("cluster"), F.lower("p_name").alias("label")).agg(F.count("*").alias("f"))
-    top = F.max("f").over(Window.partitionBy("cluster"))
-    score = F.round(0.5 * F.col("f") / top + 0.3 / F.size(F.split("label", " ")) + 0.2 / F.length("label"), 9)
-    ranked = labels.withColumn("score", score).withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "label")))
-    return ranked.where("i = 1").select("cluster", F.col("label").alias("canonical"), "score")
-
-
 @register("x19_containment", """WITH l AS (SELECT DISTINCT p_partkey % 40 AS cluster, lower(p_name) AS label FROM part), w AS (SELECT DISTINCT cluster, label, unnest(string_split(label, ' ')) AS w FROM l),
 z AS (SELECT cluster, label, count(*) AS size FROM w GROUP BY ALL), h AS (SELECT a.cluster, a.label, b.label AS other, count(*) AS common FROM w a JOIN w b ON a.cluster = b.cluster AND a.w = b.w AND a.label <> b.label GROUP BY ALL),
 k AS (SELECT h.cluster, h.label, count(*) AS k FROM h JOIN z ON z.cluster = h.cluster AND z.label = h.label WHERE common = size GROUP BY ALL), n AS (SELECT cluster, count(*) AS n FROM l GROUP BY cluster)

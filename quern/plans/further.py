@@ -58,17 +58,6 @@ def a28(spark, folder):
     return sums.select("i", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.col("q") / F.col("n") - mean * mean), 6).alias("std"))
 
 
-@register("a33_cluster_separation", f"""WITH {E_SQL}, x AS (SELECT label, unnest(list_transform(v, lambda y: y / s)) AS x, generate_subscripts(v, 1) AS i FROM e), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), z AS (SELECT label, sqrt(sum(m * m)) AS s FROM m GROUP BY label),
-d AS (SELECT a.label, b.label AS other, 1 - sum(a.m * b.m) / (max(za.s) * max(zb.s)) AS d FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label JOIN z za ON za.label = a.label JOIN z zb ON zb.label = b.label GROUP BY ALL) SELECT label, round(min(d), 5) AS separation FROM d GROUP BY label""")
-def a33(spark, folder):
-    """Cosine distance from each cluster's mean direction to the nearest other one."""
-    rows = embeddings(spark, folder).select("label", vec.normalised("embedding").alias("u"))
-    means = vec.centroids(rows, "label", "u")
-    other = means.select(F.col("label").alias("other"), F.col("centroid").alias("there"))
-    pairs = means.join(other, F.col("label") != F.col("other"))
-    return pairs.groupBy("label").agg(F.round(F.min(1 - vec.cosine("centroid", "there")), 5).alias("separation"))
-
-
 @register("x09_query_split", r"SELECT page_id, len(list_distinct(list_filter(list_transform(regexp_split_to_array(url, '[,;|\n/?&=.:]+'), lambda x: lower(x)), lambda x: length(x) > 2 AND NOT regexp_matches(x, '[0-9]'))))::bigint AS n FROM pages")
 def x09(spark, folder):
     """Distinct words between delimiters that a word list could hold."""

@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ("labels", "etl", "analytics", "sequences", "similarity", "supervision", "texts", "flows", "further")
+NAMES = ("labels", "etl", "analytics", "sequences", "similarity", "supervision", "texts", "flows", "further", "clusters")
 
 
 def load() -> None:

@@ -191,12 +191,6 @@ def r14(spark, folder):
     return guess.groupBy("label").agg(F.round(F.avg((F.col("label") == F.col("guess")).cast("int")), 6).alias("accuracy"))
 
 
-@register("a32_cluster_cohesion", f"WITH {E_SQL}, p AS (SELECT a.label, avg(list_inner_product(a.v, b.v) / (a.s * b.s)) AS intra FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label) SELECT label, n AS size, round(coalesce(intra, 1), 5) AS intra FROM (SELECT label, count(*) AS n FROM e GROUP BY label) LEFT JOIN p USING (label)")
-def a32(spark, folder):
-    found = vec.cohesion(embeddings(spark, folder), "label")
-    return found.select("label", "size", F.round("intra", 5).alias("intra"))
-
-
 @register("a43_embedding_drift", f"WITH {E_SQL} SELECT a.label, round(1 - avg(list_inner_product(a.v, b.v) / (a.s * b.s)), 5) AS drift FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 GROUP BY a.label")
 def a43(spark, folder):
     """One less the mean cosine between aligned rows: here, each row and the next."""

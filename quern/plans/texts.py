@@ -98,13 +98,25 @@ def x14(spark, folder):
     return rows.where((F.col("n_chars") < low - 3 * (high - low)) | (F.col("n_chars") > high + 3 * (high - low)))
 
 
-@register("x15_quality_flags", r"""SELECT lang, count(*) FILTER (regexp_matches(text, '[0-9]{6,}')) AS long_numbers, count(*) FILTER (length(regexp_replace(text, '[^\[\]()]', '', 'g')) >= 3) AS brackets, count(*) FILTER (length(text) < 60) AS short,
- round(100.0::double * count(*) FILTER (length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.3::double * length(text)) / count(*), 4) AS shouting FROM documents GROUP BY lang""")
+#: Field names, and limits of length, special and upper-case shares of the text checks.
+FIELDS = "category|subcategory|subjects|war theater|photo series|property number"
+SHORT, SPECIAL, UPPER = 20, 0.15, 0.3
+
+
+@register("x15_quality_flags", rf"""WITH d AS (SELECT lang, text, length(text) AS n FROM documents) SELECT lang, count(*) AS n_texts,
+ count(*) FILTER (regexp_matches(text, '(?i)(^|[^a-z0-9_])({FIELDS}):')) AS metadata, count(*) FILTER (regexp_matches(text, '(^|[^0-9A-Za-z_])[0-9]{{6,}}([^0-9A-Za-z_]|$)')) AS long_numbers,
+ count(*) FILTER (regexp_matches(text, '\[[^\]]{{3,}}\]')) AS brackets, count(*) FILTER (length(trim(text, E' \t\n\r')) < {SHORT}) AS short,
+ count(*) FILTER (length(regexp_replace(text, '[\p{{L}}\p{{N}} \t\n\r]', '', 'g')) > {SPECIAL}::double * greatest(n, 1)) AS special,
+ count(*) FILTER (n > {SHORT} AND length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) > {UPPER}::double * n) AS shouting FROM d GROUP BY lang""")
 def x15(spark, folder):
+    """How many texts of a language show each sign of poor cleaning."""
+    size = F.length("text")
     count = lambda p: F.length(F.regexp_replace("text", p, ""))
     return docs(spark, folder).groupBy("lang").agg(
-        F.count_if(F.rlike("text", F.lit("[0-9]{6,}"))).alias("long_numbers"), F.count_if(count(r"[^\[\]()]") >= 3).alias("brackets"), F.count_if(F.length("text") < 60).alias("short"),
-        F.round(100.0 * F.count_if(count("[^A-Z]") > 0.3 * F.length("text")) / F.count("*"), 4).alias("shouting"))
+        F.count("*").alias("n_texts"), F.count_if(F.rlike("text", F.lit(rf"(?i)(^|[^a-z0-9_])({FIELDS}):"))).alias("metadata"),
+        F.count_if(F.rlike("text", F.lit(r"(^|[^0-9A-Za-z_])[0-9]{6,}([^0-9A-Za-z_]|$)"))).alias("long_numbers"), F.count_if(F.rlike("text", F.lit(r"\[[^\]]{3,}\]"))).alias("brackets"),
+        F.count_if(F.length(F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", "")) < SHORT).alias("short"), F.count_if(count(r"[\p{L}\p{N} \t\n\r]") > SPECIAL * F.greatest(size, F.lit(1))).alias("special"),
+        F.count_if((size > SHORT) & (count(r"[^\p{Lu}]") > UPPER * size)).alias("shouting"))
 
 
 @register("x16_url_parse", r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/]*/([^/?#]*)', 1) AS first, coalesce(nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), ''), '') AS ref FROM pages")
@@ -145,15 +157,15 @@ def x19(spark, folder):
 
 
 @register("x20_bleu", f"""WITH p AS (SELECT a.conv_id, a.turn, regexp_extract_all(lower(a.text), '{W}') AS c, regexp_extract_all(lower(b.text), '{W}') AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-k AS (SELECT unnest([1, 2]) AS g), cg AS (SELECT conv_id, turn, g, unnest(list_transform(range(1, len(c) - g + 2), lambda i: array_to_string(c[i:i + g - 1], ' '))) AS x FROM p, k), rg AS (SELECT conv_id, turn, g, unnest(list_transform(range(1, len(r) - g + 2), lambda i: array_to_string(r[i:i + g - 1], ' '))) AS x FROM p, k),
+k AS (SELECT unnest([1, 2, 3, 4]) AS g), cg AS (SELECT conv_id, turn, g, unnest(list_transform(range(1, len(c) - g + 2), lambda i: array_to_string(c[i:i + g - 1], ' '))) AS x FROM p, k), rg AS (SELECT conv_id, turn, g, unnest(list_transform(range(1, len(r) - g + 2), lambda i: array_to_string(r[i:i + g - 1], ' '))) AS x FROM p, k),
 cc AS (SELECT conv_id, turn, g, x, count(*) AS n FROM cg GROUP BY ALL), rc AS (SELECT conv_id, turn, g, x, count(*) AS n FROM rg GROUP BY ALL),
 m AS (SELECT g, sum(least(cc.n, coalesce(rc.n, 0))) AS hit, sum(cc.n) AS total FROM cc LEFT JOIN rc USING (conv_id, turn, g, x) GROUP BY g), l AS (SELECT sum(len(c)) AS c, sum(len(r)) AS r FROM p)
-SELECT round(exp(avg(ln(hit / total))) * max(CASE WHEN l.c > l.r THEN 1 ELSE exp(1 - l.r / l.c) END), 6) AS bleu FROM m, l""")
+SELECT CASE WHEN min(hit) = 0 THEN 0 ELSE round(exp(avg(ln(nullif(hit, 0) / total))) * max(CASE WHEN l.c > l.r THEN 1 ELSE exp(1 - l.r / l.c) END), 6) END::double AS bleu FROM m, l""")
 def x20(spark, folder):
-    """Corpus BLEU of one- and two-word runs, each turn against the next."""
+    """Corpus BLEU of runs of one to four words, each turn against the next."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", tx.tokens("text").alias("c"))
     pairs = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("c").alias("r")), ["conv_id", "turn"])
-    return naming.bleu(pairs, ["conv_id", "turn"], "c", "r", 2)
+    return naming.bleu(pairs, ["conv_id", "turn"], "c", "r", 4)
 
 
 @register("x21_keyword_clean", "SELECT conv_id, array_to_string(list_filter(list_transform(string_split(k, ';'), lambda x: trim(x)), lambda x: length(x) > 2), ', ') AS keywords FROM (SELECT conv_id, string_agg(role, ' ; ' ORDER BY turn) || '; x' AS k FROM conversations GROUP BY conv_id)")

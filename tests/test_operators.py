@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import clustering, distribution, matching, naming, ranking, sampling, vectors
+from quern.operators import cluster_quality, clustering, distribution, matching, naming, ranking, sampling, vectors
 from quern.operators import regimes as reg
 from quern.operators.relational import as_of
 
@@ -143,3 +144,71 @@ def test_lists_in_several_writings(spark):
 def test_repeated_words_collapse(spark):
     rows = spark.createDataFrame([("The the cat été Été sat",)], "t string")
     assert rows.select(tx.collapse_repeats("t")).first()[0] == "the cat été sat"
+
+
+def test_super_clusters_take_the_best_height(spark):
+    rng = np.random.default_rng(7)
+    centres = np.eye(4) * 10
+    points = [(f"{g}-{i}", (centres[g] + rng.normal(0, 0.3, 4)).tolist()) for g in range(4) for i in range(6)]
+    found = clustering.super_clusters(spark.createDataFrame(points, "name string, v array<double>"), "name", "v").toPandas()
+    assert set(found["k"]) == {4} and found["silhouette"].min() > 0.9
+    groups = found.groupby(found["name"].str[0])["cluster"].nunique()
+    assert (groups == 1).all() and found["cluster"].nunique() == 4
+    one = clustering.super_clusters(spark.createDataFrame(points[:1], "name string, v array<double>"), "name", "v").toPandas()
+    assert one["k"].tolist() == [1] and one["silhouette"].isna().all()
+    two = clustering.super_clusters(spark.createDataFrame(points[:2], "name string, v array<double>"), "name", "v").toPandas()
+    assert set(two["k"]) == {2} or set(two["k"]) == {1}
+
+
+def test_extremes_over_tiles_match_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(70, 5))
+    rows = [(i % 3, i, vectors[i].tolist()) for i in range(69)] + [(9, 69, vectors[69].tolist())]
+    frame = spark.createDataFrame(rows, "g bigint, id bigint, v array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for tile in (4, 1000):
+        found = {r.g: (r.least, r.most) for r in cluster_quality.extremes(frame, "g", "id", "v", tile).collect()}
+        assert found[9] == (None, None)
+        for g in range(3):
+            sim = unit[g:69:3] @ unit[g:69:3].T
+            pairs = sim[~np.eye(len(sim), dtype=bool)]
+            assert found[g] == pytest.approx((pairs.min(), pairs.max()))
+
+
+def test_silhouettes_match_distances_in_every_block_size(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(40, 6))
+    label = np.array([i % 4 for i in range(39)] + [7])
+    frame = spark.createDataFrame([(int(label[i]), i, vectors[i].tolist()) for i in range(40)], "g bigint, id bigint, v array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    far = 1 - unit @ unit.T
+    want = {}
+    for i in range(40):
+        own = label == label[i]
+        if own.sum() == 1:
+            want[i] = 0.0
+            continue
+        a = far[i][own].sum() / (own.sum() - 1)
+        b = min(far[i][label == g].mean() for g in set(label) if g != label[i])
+        want[i] = (b - a) / max(a, b)
+    for block in (1, 1 << 20):
+        found = {r.id: r.silhouette for r in cluster_quality.silhouettes(frame, "g", "id", "v", block).collect()}
+        assert found == pytest.approx(want)
+
+
+def test_canonical_names_keep_the_nearest_unless_another_is_far_more_frequent(spark):
+    rows = [(0, "red cross badge", 2, [1.0, 0.0]), (0, "cross", 9, [0.9, 0.3]), (0, "blue cross", 1, [0.9, -0.3]), (1, "lone.", 1, [0.0, 1.0])]
+    points = spark.createDataFrame(rows, "cluster bigint, name string, f bigint, v array<double>")
+    found = {r.cluster: (r.canonical, r.overruled) for r in cluster_quality.canonical_names(points, "cluster", "name", "f", "v").collect()}
+    assert found == {0: ("cross", True), 1: ("lone.", False)}
+    rare = points.replace(9, 5, "f")
+    assert cluster_quality.canonical_names(rare, "cluster", "name", "f", "v").where("cluster = 0").first().canonical == "red cross badge"
+
+
+def test_profile_of_a_singleton_and_of_no_rows(spark):
+    points = spark.createDataFrame([(1, "lone", 3, [0.0, 1.0])], "cluster bigint, name string, f bigint, v array<double>")
+    names = cluster_quality.canonical_names(points, "cluster", "name", "f", "v")
+    row = cluster_quality.profile(points, names, "cluster", "name", "f", "v").first()
+    assert (row.size, row.intra, row.diameter, row.representativeness, row.entropy, row.coverage, row.flags) == (1, 1.0, 0.0, 1.0, 0.0, 3, "SINGLETON")
+    none = points.limit(0)
+    assert cluster_quality.profile(none, cluster_quality.canonical_names(none, "cluster", "name", "f", "v"), "cluster", "name", "f", "v").count() == 0
