@@ -24,6 +24,12 @@ def trailing(by: Sequence[str], order: Sequence[str], size: int):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(-(size - 1), 0)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as IEEE division, for b of 0 and up: 0 / 0 is NaN and a / 0 infinite, which ANSI mode makes an error."""
+    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def ema(rows: DataFrame, by: str, order: str, column: str, size: int) -> DataFrame:
     """Exponential moving average of each key's values in order, seeded by the first: (by, order, ema).
 

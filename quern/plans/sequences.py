@@ -55,7 +55,8 @@ def w06(spark, folder):
 @register("w07_volatility", "SELECT event_id, round(stddev_pop(value) OVER w / abs(avg(value) OVER w) * 100, 4) AS cv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING)")
 def w07(spark, folder):
     w = win.trailing(["user_id"], ["ts", "event_id"], 5)
-    return user_events(spark, folder).select("event_id", F.round(F.stddev_pop("value").over(w) / F.abs(F.avg("value").over(w)) * 100, 4).alias("cv"))
+    spread, mean = F.stddev_pop("value").over(w), F.abs(F.avg("value").over(w))
+    return user_events(spark, folder).select("event_id", F.round(win.ratio(spread, mean) * 100, 4).alias("cv"))
 
 
 @register("w08_slope", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT event_id, round(coalesce(CASE WHEN count(*) OVER w >= 2 THEN covar_pop(value, i) OVER w / var_pop(i) OVER w END, 0), 5) AS slope FROM r

@@ -91,6 +91,25 @@ def test_link_counts_in_blocks(spark):
         assert found == {i: (i % 30, links[i]) for i in range(70)}
 
 
+def test_volatility_of_zero_means_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from quern.plans import registry
+
+    values = {1: [0.0, 0.0, 3.5, 1.0], 2: [2.0, -2.0, 0.0], 3: [None, 0.0, None], 4: [float("nan"), 0.0], 5: [5.0]}
+    rows = [(10 * u + i, i, u, "view", v) for u, vs in values.items() for i, v in enumerate(vs)]
+    events = spark.createDataFrame(rows, "event_id bigint, s int, user_id bigint, event_type string, value double")
+    events.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.event_id: r.cv for r in registry.queries()["w07_volatility"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    # user 4 apart: DuckDB's deviation refuses NaN values
+    plain = dict(con.execute(registry.oracle_sql()["w07_volatility"].replace("FROM events", "FROM (FROM events WHERE user_id <> 4)")).fetchall())
+    shown = lambda x: None if x is None else str(abs(x) if x != x else x)
+    assert {k: shown(v) for k, v in found.items() if k // 10 != 4} == {k: shown(v) for k, v in plain.items()}
+    assert shown(found[10]) == "nan" and shown(found[21]) == "inf" and found[30] is None and found[50] == 0.0
+
+
 def test_shared_core_and_containment(spark):
     rows = [(1, "black aircraft"), (1, "white aircraft"), (1, "yellow aircraft"), (2, "bridge"), (2, "arch bridge"), (2, "concrete bridge"), (3, "club"), (3, "glee club"), (3, "sport club")]
     labels = spark.createDataFrame(rows, "cluster int, label string")
