@@ -9,14 +9,16 @@ errors, and of the two 24-bit halves of the other 48 bits one has at most one er
 key. Each fingerprint thus has 8 tables of 1 to 6 keys of 28 bits.
 
 ``near_duplicates``: all pairs of texts whose sets of word shingles (five words) have a Jaccard similarity of 0.8 or
-more, none missed and none added. Of sets that similar, each one's first fifth (and one) in a common order has a
-shingle of the other's: texts meet under those. What passes bounds of size, position and a 64-bit SimHash with five
-deviations of slack is verified on the exact shingle sets. The order puts shingles found often in a sample last;
-it decides how many texts meet in vain, not which are linked.
-
-Equal texts are collapsed before anything is joined. Groups that share a key are scanned for links in sorted
-streams. Those of ``link_64`` leave a spanning star each, never all their pairs; those of ``near_duplicates`` first
-leave a star, and once its links are verified, the pairs that these have not connected.
+more, none missed and none added. The 64-bit SimHash of each set is decoded to the same Golay keys; texts that meet
+under one and differ in few bits are verified on the exact shingle sets, and what that links gets a common label.
+Golay keys of 64 bits are sure to 3 bits only, and sets at 0.8 differ in about 10, so an exact search follows for the
+rest: of sets that similar, each one's first fifth (and one) in a common order has a shingle of the other's. Texts of
+different labels that share one, and pass bounds of size, position and the SimHash with five deviations of slack, are
+verified as well. The order puts shingles found often in a sample last; it decides how many texts meet in vain, not
+which are linked.
+
+Equal texts are collapsed before anything is joined. Groups that share a Golay key are scanned for links in sorted
+streams and leave a spanning star each, never all their pairs; the exact search compares across labels only.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import golay
-from quern.llm.common import checkpointed, fresh, materialize, shared_dir, text_or_empty
+from quern.llm.common import checkpointed, fresh, materialize, shared_dir, small_batches, text_or_empty
 from quern.llm.components import stars
 
 #: Fixed value: seed of the shingle hash.
@@ -223,10 +225,10 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 
 
 def prefix(found: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The first hashes of a set, common ones last: two sets that similar share one. Empty sets have key 0."""
+    """The first hashes of a set, those of the sorted ``common`` last: two sets that similar share one. Empty sets have key 0."""
     if not len(found):
         return np.zeros(1, dtype=np.uint64)
-    last = np.isin(found, common, assume_unique=True)
+    last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
     return np.concatenate([found[~last], found[last]])[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
 
 
@@ -269,11 +271,8 @@ def _may_match(rows: dict, x, y, similarity: float, most: int) -> np.ndarray:
     return near & (np.bitwise_count(code[x] ^ code[y]) <= most) & (rows["label"][x] != rows["label"][y])
 
 
-def _pairs(rows: dict, similarity: float, most: int, every: bool) -> tuple[list, np.ndarray]:
-    """Pairs (a, b) of nodes to verify among complete runs of equal keys, and the rows of long runs.
-
-    Long runs give pairs with their first row only, unless ``every`` is set.
-    """
+def _pairs(rows: dict, similarity: float, most: int) -> list:
+    """Pairs (a, b) of nodes to verify among complete runs of equal keys: those of different labels that may match."""
     key, node = rows["key"], rows["node"]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
@@ -289,43 +288,35 @@ def _pairs(rows: dict, similarity: float, most: int, every: bool) -> tuple[list,
         at = np.flatnonzero((key[shift:] == key[:-shift]) & short[shift:])
         keep(at, at + shift)
     for start, n in zip(first[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist()):
-        labels = rows["label"][start : start + n]
-        if (labels == labels[0]).all():
-            continue
-        for i in range(start, start + n - 1 if every else start + 1):
-            keep(np.array([i]), np.arange(i + 1, start + n))
-    return pairs, np.flatnonzero(~short)
+        names, which = np.unique(rows["label"][start : start + n], return_inverse=True)
+        if len(names) > 1:  # any pair of two labels has a row outside the most frequent one
+            often = which == np.bincount(which).argmax()
+            held, others = start + np.flatnonzero(often), start + np.flatnonzero(~often)
+            for i, row in enumerate(others):
+                keep(others[i : i + 1], np.concatenate([held, others[i + 1 :]]))
+    return pairs
 
 
 KEYED = "key bigint, node bigint, size bigint, pos bigint, code bigint, label bigint"
 
 
-def _meet(keyed: DataFrame, similarity: float, most: int, every: bool) -> DataFrame:
-    """KEYED -> (a, b) pairs to verify, and KEYED rows of long runs with null a, unless ``every`` is set.
-
-    Rows that come without a label are each on their own: their node is their label, and need not travel twice.
-    """
+def _meet(keyed: DataFrame, similarity: float, most: int) -> DataFrame:
+    """KEYED -> (a, b) pairs to verify."""
     names = [part.split()[0] for part in KEYED.split(", ")]
-    sent = [n for n in names if n in keyed.columns]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows):
-            pairs, long = _pairs(rows, similarity, most, every)
+            pairs = _pairs(rows, similarity, most)
             pairs = np.unique(np.stack([np.concatenate(p) for p in zip(*pairs)], axis=1), axis=0) if pairs else np.zeros((0, 2), np.int64)
             for k in range(0, len(pairs), 50_000):
                 a, b = np.ascontiguousarray(pairs[k : k + 50_000].T)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64()) for _ in names]], names=["a", "b", *names])
-            for k in range(0, 0 if every else len(long), 50_000):
-                at = long[k : k + 50_000]
-                none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *[pa.array(rows[n][at].view(np.int64)) for n in names]], names=["a", "b", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {n: batch.column(n).to_numpy() for n in sent}
-            rows.setdefault("label", rows["node"])
+            rows = {n: batch.column(n).to_numpy() for n in names}
             rows["code"] = rows["code"].view(np.uint64)
             if held is not None:
                 rows = {n: np.concatenate([held[n], rows[n]]) for n in names}
@@ -337,7 +328,13 @@ def _meet(keyed: DataFrame, similarity: float, most: int, every: bool) -> DataFr
             yield from found(held)
 
     parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(meet, f"a bigint, b bigint, {KEYED}")
+    return keyed.select(*names).repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(meet, "a bigint, b bigint")
+
+
+def golay_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) pairs of nodes to verify: those that meet under a Golay key of their SimHash and differ in few bits of it."""
+    met = link(nodes.select("node", F.array("code").alias("code")), keys_64, slice(0, 1), most_bits(similarity, 64))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -361,10 +358,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node").select(F.col("id.same").alias("same"))
     wanted = materialize(wanted, f"{folder}/wanted")  # few as a rule: its size decides whether the texts have to move
     chosen = docs.select(_same(docs).alias("same"), _node(docs).alias("node"), text_or_empty(docs).alias("text")).join(wanted, "same", "left_semi")
-    found = checkpointed(chosen.select("node", "text").mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"]))
-    left = found.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = found.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
+    with small_batches(docs.sparkSession):
+        found = checkpointed(chosen.select("node", "text").mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"]))
+        left = found.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+        right = found.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+        return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
 
 
 def _node(docs: DataFrame):
@@ -381,18 +379,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     A group keeps its least doc_id (nulls last), of rows with that id the one with the least ``same``.
     """
     folder = shared_dir(docs.sparkSession)
-    nodes = materialize(sketches(docs, similarity, shingle).groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("id"), *[F.first(c).alias(c) for c in ("size", "code", "keys")]), f"{folder}/nodes")
-    most = most_bits(similarity, 64, 5.0)
-    keyed = nodes.select("node", "size", "code", F.posexplode("keys").alias("pos", "key"))
-    names = [part.split()[0] for part in KEYED.split(", ")]
-    alone = keyed.select("key", "node", "size", F.col("pos").cast("bigint").alias("pos"), "code")
-    met = materialize(_meet(alone, similarity, most, False), f"{folder}/met")
-    edges = verified(docs, nodes, met.where("a IS NOT NULL").select("a", "b").distinct(), similarity, shingle)
-    # Long runs left a star each: what its verified links have not connected is compared in whole.
-    long = met.where("a IS NULL").drop("a", "b", "label").join(stars(edges).withColumnRenamed("root", "label"), "node", "left")
-    rest = _meet(long.withColumn("label", F.coalesce("label", "node")).select(*names), similarity, most, True)
-    more = verified(docs, nodes, checkpointed(rest.select("a", "b").distinct()), similarity, shingle)
+    with small_batches(docs.sparkSession):
+        nodes = materialize(sketches(docs, similarity, shingle).groupBy("node").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("id"), *[F.first(c).alias(c) for c in ("size", "code", "keys")]), f"{folder}/nodes")
+    edges = verified(docs, nodes, materialize(golay_pairs(nodes, similarity), f"{folder}/golay"), similarity, shingle)
+    labelled = nodes.select("node", "size", "code", "keys").join(stars(edges), "node", "left")
+    keyed = labelled.select("node", "size", "code", F.coalesce("root", "node").alias("label"), F.posexplode("keys").alias("pos", "key"))
+    rest = _meet(keyed.withColumn("pos", F.col("pos").cast("bigint")), similarity, most_bits(similarity, 64, 5.0)).distinct()
+    more = verified(docs, nodes, materialize(rest, f"{folder}/rest"), similarity, shingle)
     kept = classes(nodes.select("node", "id"), edges.unionByName(more)).select(F.col("least.same").alias("same")).distinct()
     return kept
 

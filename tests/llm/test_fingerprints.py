@@ -185,6 +185,28 @@ def test_near_dedup_groups_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(group))
 
 
+def test_near_dedup_links_by_golay_keys(spark, monkeypatch):
+    """Without the exact search that follows, Golay keys of the SimHash alone link copies of few edits."""
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(simhash, "_meet", lambda *a: empty)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    pairs = []
+    for _ in range(40):
+        base = [word() for _ in range(400)]
+        pairs.append((" ".join(base), " ".join(base[:200] + [word()] + base[201:])))
+    assert kept_pairs(spark, pairs).count(False) >= 30  # similarity 0.975; the rest is left to the exact search
+
+
+def test_near_dedup_compares_across_labels_only():
+    """A run of 300 rows: of 290 linked ones and 10 others, only pairs with one of the 10 are left to verify."""
+    n = 300
+    label = np.array([0] * 290 + list(range(1, 11)))
+    rows = {"key": np.zeros(n, np.int64), "node": np.arange(n), "size": np.full(n, 50), "pos": np.zeros(n, np.int64), "code": np.zeros(n, np.uint64), "label": label}
+    found = {(int(x), int(y)) for a, b in simhash._pairs(rows, 0.8, 24) for x, y in zip(a, b)}
+    assert found == {(i, j) for j in range(290, n) for i in range(j)}
+
+
 def test_simhash_odd_rows(spark, odd_docs):
     assert simhash.link_64(odd_docs).count() == odd_docs.count()
     kept = simhash.keep_one(odd_docs)
