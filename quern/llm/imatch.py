@@ -35,25 +35,30 @@ CACHE_ENTRIES = 400_000
 _U = np.uint64
 
 
+class _Hashes(dict):
+    """Words to their hashes, computed when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
 class Terms:
     """64-bit hashes of terms, remembered up to a bound."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
     def of(self, text: str) -> np.ndarray:
         """Sorted distinct hashes of a text's lower-cased words."""
-        import xxhash
-
         words = set(text.lower().split())
         if len(self.known) + len(words) > CACHE_ENTRIES:
             self.known.clear()
-        found = list(map(self.known.get, words))
-        if None in found:
-            for i, word in enumerate(words):
-                if found[i] is None:
-                    found[i] = self.known[word] = xxhash.xxh64_intdigest(word)
-        return np.unique(np.array(found, dtype=np.uint64))
+        found = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+        found.sort()
+        return np.unique(found) if (found[1:] == found[:-1]).any() else found
 
 
 def _class(terms: np.ndarray) -> np.ndarray:
@@ -110,10 +115,12 @@ def in_lexicon(terms: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
+    h = h ^ (h >> _U(30))
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(27)
+    h *= _U(0x94D049BB133111EB)
+    h ^= h >> _U(31)
+    return h
 
 
 _SALTS = _mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -126,15 +133,16 @@ def signatures(terms: np.ndarray) -> dict[int, np.ndarray]:
     level = max(0, int(np.floor(np.log2(len(terms) / 0.7))))
     total = {level: np.zeros(SUBSETS, np.uint64), level + 1: np.zeros(SUBSETS, np.uint64)}
     held = {level: np.zeros(SUBSETS, bool), level + 1: np.zeros(SUBSETS, bool)}
-    with np.errstate(over="ignore"):
-        for k in range(0, len(terms), 2048):  # bounds the matrix for very long texts
-            drawn = _mix(terms[k : k + 2048, None] ^ _SALTS[None, :])
-            row, subset = np.nonzero(drawn < _U(min(2**64 - 1, 2 ** (64 - level))))
-            for at in total:
-                deep = drawn[row, subset] < _U(min(2**64 - 1, 2 ** (64 - at)))
-                r, s = row[deep], subset[deep]
-                np.add.at(total[at], s, _mix(terms[k + r] * _U(0x9E3779B97F4A7C15)))
-                held[at][s] = True
+    shallow, deep = _U(min(2**64 - 1, 2 ** (64 - level))), _U(2 ** (63 - level))
+    for k in range(0, len(terms), 512):  # bounds the matrix for very long texts; 160 KB stay in the cache
+        part = terms[k : k + 512]
+        drawn, own = _mix(part[:, None] ^ _SALTS[None, :]).ravel(), _mix(part * _U(0x9E3779B97F4A7C15))
+        at = np.flatnonzero(drawn < shallow)
+        row, subset = np.divmod(at, SUBSETS)
+        below = drawn[at] < deep
+        for where, r, u in ((level, row, subset), (level + 1, row[below], subset[below])):
+            np.add.at(total[where], u, own[r])
+            held[where][u] = True
     return {at: np.where(held[at], (_mix(total[at]) & _U(0xFFFE)) + _U(1), _U(0)).astype(np.uint16) for at in total}
 
 
@@ -187,18 +195,33 @@ def _result(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, tie) -> (doc_id, tie, size, packed): each text's bytes compressed, for the exchange."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            batch = whole.slice(k, 1000)
+            texts = [t.as_buffer() for t in batch.column(1)]
+            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t.size for t in texts], pa.int64()), packed], names=["doc_id", "tie", "size", "packed"])
+
+
+def unpacked(packed: pa.Buffer, size: int) -> str:
+    return pa.Codec("zstd").decompress(packed, decompressed_size=size, asbytes=True).decode() if size else ""
+
+
 def compare(docs: DataFrame) -> DataFrame:
     """RESULT for every document in ascending doc_id order: its fingerprint, that of its edited text, and both likenesses.
 
-    The texts are exchanged once, by ranges of doc_id, and streamed in order; a task's last document meets the first
+    The texts are exchanged once, compressed, by ranges of doc_id, and streamed in order; a task's last document meets the first
     one of the next non-empty range in a small second step, with one or two rows a range.
     """
     spark = docs.sparkSession
     wanted = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_or_empty(docs).alias("text"))
     held = spark.sparkContext.broadcast(lexicon(wanted))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tied = wanted.withColumn("tie", F.xxhash64("text"))
-    ordered = tied.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    tied = wanted.withColumn("tie", F.xxhash64("text")).mapInArrow(pack, "doc_id bigint, tie bigint, size bigint, packed binary")
+    ordered = tied.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "packed").select("doc_id", "size", "packed")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -206,8 +229,8 @@ def compare(docs: DataFrame) -> DataFrame:
         shard, printer, out, last = TaskContext.get().partitionId(), Printer(held.value), [], None
         blank = (None,) * 6
         for batch in batches:
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = t.as_py()
+            for doc_id, size, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                text = unpacked(t.as_buffer(), size)
                 own = printer.signature(text)
                 if last is None:
                     out.append((doc_id, *blank, shard, 0, text))

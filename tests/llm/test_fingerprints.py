@@ -215,6 +215,16 @@ def test_simhash_odd_rows(spark, odd_docs):
     assert simhash.link_64(odd_docs.where("false")).count() == 0 and simhash.keep_one(odd_docs.where("false")).count() == 0
 
 
+def test_imatch_texts_are_packed_whole():
+    import pyarrow as pa
+
+    texts = ["", "a", "\u65e5\u672c\u8a9e \U0001f600 \u00fcber\x00\n", " ".join(f"word{i % 50}" for i in range(5000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts), pa.array([7] * 4, pa.int64())], names=["doc_id", "text", "tie"])
+    (out,) = imatch.pack(iter([batch]))
+    assert [imatch.unpacked(p.as_buffer(), n.as_py()) for p, n in zip(out.column(3), out.column(2))] == texts
+    assert len(out.column(3)[3].as_py()) < len(texts[3]) / 4
+
+
 def test_imatch_order_and_edits(spark):
     texts = near_texts(3)
     docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
