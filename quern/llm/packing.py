@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import encoder
+from quern.llm.tokens import Encoder, lent
 
 #: Tokens a pool holds before bins are closed, and how far it is drained while more input comes.
 POOL_HIGH, POOL_LOW = 1_000_000, 250_000
@@ -189,9 +189,12 @@ def pack(rows: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     wanted = rows.select(rows["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(rows["text"].cast("string"), F.lit("")).alias("text"), *([rows["loss"]] if has_loss else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lent(tokenizer) as found:
+            yield from packed(batches, found)
+
+    def packed(batches: Iterator[pa.RecordBatch], found: Encoder) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
         base = TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4")
 
@@ -199,7 +202,7 @@ def pack(rows: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
             for batch in batches:
                 losses = batch.column(2) if has_loss else None
                 for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                    ids = np.concatenate([np.frombuffer(encode(text.as_py()), dtype="<u4"), end])
+                    ids = np.concatenate([np.frombuffer(found.encode(text.as_py()), dtype="<u4"), end])
                     mask = losses[k].as_py() if losses is not None else None
                     if mask is None:
                         loss = None

@@ -7,12 +7,18 @@ repeat, so a bounded cache answers most of them. The ids equal those of encoding
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
-#: Entries a cache holds before it starts anew: a bound on a worker's memory, some 200 bytes each.
+#: Entries an encoder's caches hold before they start anew: a bound on a worker's memory, some 200 bytes each.
 CACHE_ENTRIES = 1_200_000
+#: The same for an encoder that is lent to one task at a time, and how many of the first words it keeps between tasks.
+LENT_ENTRIES, KEPT_ENTRIES = 500_000, 50_000
 #: Longer units are encoded but not remembered.
 LONGEST_KEY = 64
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -44,13 +50,13 @@ class _Cache(dict):
         self.shown = encoder.alphabet[32] if lead else ""
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.encoder.entries:
-            self.clear()
         if unit.isascii() and unit.isalpha():
             ids = array("I", [t.id for t in self.tokenize(self.shown + unit)]).tobytes()
         else:
             ids = self._mixed(unit)
         if len(unit) <= LONGEST_KEY:
+            if self.encoder.held() >= self.encoder.entries:
+                self.encoder.forget()
             self[unit] = ids
         return ids
 
@@ -88,6 +94,16 @@ class Encoder:
         self.entries = entries
         self.spaced, self.plain = _Cache(self, " "), _Cache(self, "")
 
+    def held(self) -> int:
+        return len(self.spaced) + len(self.plain)
+
+    def forget(self, keep: int = 0) -> None:
+        """Empties the caches but for the first ``keep`` words of either; frequent words come early."""
+        for cache in (self.spaced, self.plain):
+            first = dict(islice(cache.items(), keep))
+            cache.clear()
+            cache.update(first)
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -108,11 +124,25 @@ class Encoder:
         return self.whole(" " + unit) if any(c.isspace() for c in unit) else self.spaced[unit]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """One encoder a worker process, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, entries) not in _ENCODERS:
+        _ENCODERS[path, entries] = Encoder(path, entries)
+    return _ENCODERS[path, entries]
+
+
+@contextmanager
+def lent(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for one task. Most of its words go after it, and their memory: workers serve later stages too."""
+    import pyarrow as pa
+
+    found = encoder(path, LENT_ENTRIES)
+    try:
+        yield found
+    finally:
+        found.forget(KEPT_ENTRIES)
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: None)(0)

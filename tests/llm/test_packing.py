@@ -5,7 +5,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from quern.llm import packing
-from quern.llm.tokens import Encoder
+from quern.llm.tokens import Encoder, KEPT_ENTRIES
 
 TEXTS = ["", " ", "  a", "it's  don't\n\n x \n y", "a<|endoftext|> b <|endoftext|>", "x" * 3000, "日本語 テキスト 1234 +1 (5)", "a \nb", "a\n b", "foo' bar'", "a\x1cb c", " lead", "trail ", "\n", "a\n", "b \n", "we'll we'LL 'tis", "Größe, Maß. ñandú; (x)", "a\u00a0b \u00a0c", "one.\nTwo three,\nfour"]
 
@@ -16,6 +16,28 @@ def test_cached_encoding_equals_the_tokenizer(tokenizer):
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_caches_hold_no_more_than_their_bound_together(tokenizer):
+    mine = Encoder(tokenizer, entries=100)
+    for i in range(500):
+        mine.encode(f"a word{i}x, letters{i}? {chr(97 + i % 26) * (1 + i // 26)}, b")
+        assert len(mine.spaced) + len(mine.plain) <= 100
+
+
+def test_workers_keep_few_words_after_packing(spark, tokenizer):
+    docs = spark.range(0, 1600, 1, 8).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 1000), i -> concat('w', id, 'x', i))) AS text")
+    assert packing.pack(docs, tokenizer).count() >= 1600
+
+    def words(batches):
+        import pyarrow as pa
+
+        from quern.llm import tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.spaced) + len(e.plain) for e in tokens._ENCODERS.values())])], names=["n"])
+
+    assert max(r.n for r in spark.range(0, 64, 1, 8).mapInArrow(words, "n bigint").collect()) <= 2 * KEPT_ENTRIES
+
+
 def check(pieces, limits):
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for p in pieces:
