@@ -269,3 +269,50 @@ def test_imatch_odd_rows(spark, odd_docs):
     assert len({r.fingerprint for r in found if r.doc_id in (4, 5)}) == 1
     assert imatch.compare(odd_docs.where("false")).count() == 0
     assert imatch.compare(odd_docs.where("doc_id = 1")).first().near_next == 1.0
+
+
+def imatch_reads(texts, lexicon):
+    printer, last, found = imatch.Printer(lexicon), None, []
+    for part in imatch.together(iter(texts)):
+        for read in printer.read([None] * len(part), part, last):
+            found.append((last, read, printer.row(last, read) if last else None))
+            last = read
+    return found
+
+
+def test_imatch_hashes_are_xxh64():
+    words = ["".join(w) for k in range(1, 70) for w in ("a" * k, "\u00e9" * k, "x" + "\u65e5" * k, chr(0x1F600) * k)]
+    assert imatch.hashed(words).tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+    assert imatch.hashed(words * 300)[-len(words) :].tolist() == imatch.hashed(words).tolist() and not len(imatch.hashed([]))
+
+
+def test_imatch_edited_texts_equal_plain_reading():
+    """Fingerprints put together from two texts' hashes and draws, against reading each edited text as a whole."""
+    rng = random.Random(5)
+    letters, spaces = list("ab\u0391\u03a3\u03c3\u0130\u00df'.-\u65e5\U0001f600") + ["x" * 40], [" ", "\n", "\u00a0", "\u2003", "\x1c", "  "]
+    piece = lambda: rng.choice(spaces) if rng.random() < 0.3 else rng.choice(letters) if rng.random() < 0.8 else f"w{rng.randrange(300)}"
+    texts = ["".join(piece() for _ in range(rng.choice([0, 0, 1, 2, 3, 4, 5, 8, 20, 100, 2000]))) for _ in range(400)]
+    terms = imatch.Terms()
+    some = np.sort(np.concatenate([terms.of(f"w{k}") for k in range(0, 300, 7)]))
+    for lexicon in (np.zeros(0, np.uint64), some, terms.of(" ".join(texts))):
+        mark = lambda text: imatch.signatures(imatch.in_lexicon(terms.of(text), lexicon))
+        for last, read, row in imatch_reads(texts, lexicon):
+            assert imatch.shown(read.signature) == imatch.shown(mark(read.text))
+            if row:
+                changed = imatch.edited(last.text, read.text)
+                own, other, next_ = mark(last.text), mark(changed), mark(read.text)
+                assert row[1:] == (len(last.text), hashlib.sha256(changed.encode()).hexdigest(), imatch.shown(own), imatch.shown(other), imatch.likeness(own, other), imatch.likeness(own, next_))
+
+
+def test_imatch_draws_from_each_word_once(monkeypatch):
+    """The edited text costs no draws of its own but for the words at its cuts."""
+    texts, mixed, mix = [" ".join(f"d{i}w{k}" for k in range(300)) for i in range(100)], [], imatch._mix
+    every = imatch.Terms().of(" ".join(texts))
+    monkeypatch.setattr(imatch, "_mix", lambda h: mixed.append(h.size) or mix(h))
+    for lexicon in (every, np.zeros(0, np.uint64)):
+        mixed.clear()
+        assert len(imatch_reads(texts, lexicon)) == 100
+        assert sum(mixed) < 1.1 * 100 * 300 * imatch.SUBSETS
+    mixed.clear()
+    assert len(imatch_reads(["same " * 100_000] * 3, every)) == 3
+    assert sum(mixed) < 100 * imatch.SUBSETS
