@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ from quern.llm.tokens import encoder
 LEAST, MOST, MASK = 128, 4096, 511
 #: Ids a rolling hash spans, as a power of two.
 SPAN_LOG2 = 4
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 22
 _MIX, _FACTOR = 0x9E3779B1, 0x2545F491
 
 STAGED = "kind int, key binary, doc_id bigint, n_tokens bigint, width int, ids binary, root binary, addresses array<binary>"
@@ -86,6 +89,16 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def _slices(doc_ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Successive rows of some SLICE bytes of text each, one row at least."""
+    through = pc.binary_length(texts).to_numpy().astype(np.int64).cumsum()
+    at = 0
+    while at < len(through):
+        till = max(at + 1, int(np.searchsorted(through, (through[at - 1] if at else 0) + SLICE, side="right")))
+        yield doc_ids.slice(at, till - at), texts.slice(at, till - at)
+        at = till
+
+
 def _stage(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of both kinds from one pass over the texts: 0, a chunk under its address; 1, a recipe.
 
@@ -95,34 +108,37 @@ def _stage(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         task = TaskContext.get().partitionId().to_bytes(4, "little")
-        end = np.array([end_id], dtype="<u4")
         rows, size, sent, number = [], 0, set(), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([np.frombuffer(encode(text.as_py()), dtype="<u4"), end])
-                addresses, start = [], 0
+            for doc_ids, texts in _slices(batch.column(0), batch.column(1)):
+                ids, ends = encode(texts)
+                ids = np.insert(ids, ends, end_id)
                 narrow = ids.astype("<u2") if int(ids.max()) < 65_536 else None
-                for stop in cuts(ids):
-                    width = 2 if narrow is not None or int(ids[start:stop].max()) < 65_536 else 4
-                    raw = (narrow if narrow is not None else ids.astype("<u2") if width == 2 else ids)[start:stop].tobytes()
-                    key = address(width, raw)
-                    addresses.append(key)
-                    if key not in sent:
-                        if len(sent) >= 500_000:
-                            sent.clear()
-                        sent.add(key)
-                        rows.append((0, key, None, None, width, raw, None, None))
-                        size += len(raw)
-                    start = stop
-                root = merkle(addresses)
-                # Copies share a root; the task and a running number tell their recipes apart and spread them.
-                rows.append((1, root + task + number.to_bytes(8, "little"), doc_id, len(ids), None, None, root, addresses))
-                number += 1
-                if size > 4_000_000 or len(rows) > 20_000:
-                    yield _staged(rows)
-                    rows, size = [], 0
+                first = 0
+                for doc_id, last in zip(doc_ids.to_pylist(), (ends + np.arange(1, len(ends) + 1)).tolist()):
+                    addresses, start = [], first
+                    for stop in cuts(ids[first:last]):
+                        stop += first
+                        width = 2 if narrow is not None or int(ids[start:stop].max()) < 65_536 else 4
+                        raw = narrow[start:stop].tobytes() if narrow is not None else ids[start:stop].astype(f"<u{width}").tobytes()
+                        key = address(width, raw)
+                        addresses.append(key)
+                        if key not in sent:
+                            if len(sent) >= 500_000:
+                                sent.clear()
+                            sent.add(key)
+                            rows.append((0, key, None, None, width, raw, None, None))
+                            size += len(raw)
+                        start = stop
+                    root = merkle(addresses)
+                    # Copies share a root; the task and a running number tell their recipes apart and spread them.
+                    rows.append((1, root + task + number.to_bytes(8, "little"), doc_id, last - first, None, None, root, addresses))
+                    number, first = number + 1, last
+                    if size > 4_000_000 or len(rows) > 20_000:
+                        yield _staged(rows)
+                        rows, size = [], 0
         if rows:
             yield _staged(rows)
 

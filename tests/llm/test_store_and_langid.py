@@ -1,11 +1,14 @@
 import zlib
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm import langid, token_store
+from quern.llm.tokens import TOGETHER, Encoder
 
 
 def test_checksums_join():
@@ -27,6 +30,54 @@ def test_cuts_depend_on_content():
     assert token_store.cuts(np.zeros(10_000, np.uint32))[-1] == 10_000 and token_store.cuts(np.zeros(0, np.uint32)) == []
 
 
+ATOMS = [
+    "a", "Word", "é", "÷", "×", "ß", "Ā", "я", "слово", "日本", "\U0001f600", "\u0301", "ª", "µ", "1", "23", "²", "Ⅷ", "٣", "'", "'s", "'LL", " 's", ",", ".", "—", "’", '"',
+    " ", " ", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x0c", "\x1c", "\x00", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u200b", "<|endoftext|>", "  <|endoftext|> ", "<|endof", "text|>",
+]
+
+
+def test_texts_encoded_together_equal_the_tokenizer(tokenizer):
+    rng = np.random.default_rng(4)
+    exact, mine = Tokenizer.from_file(tokenizer), Encoder(tokenizer, entries=300)
+    for kind in (pa.string(), pa.large_string()):
+        for size in (0, 1, 2, 400, 400):
+            texts = ["".join(rng.choice(ATOMS, int(n))) for n in rng.integers(0, 14, size + 2)]
+            ids, ends = mine.encode_all(pa.array(texts, kind).slice(1, size))
+            assert len(ends) == size and len(ids) == (ends[-1] if size else 0)
+            for text, (start, end) in zip(texts[1:], pairwise([0, *ends.tolist()])):
+                assert ids[start:end].tolist() == exact.encode(text, add_special_tokens=False).ids, repr(text)
+            assert mine.held() <= 300
+
+
+def test_new_words_are_tokenized_together_and_once(tokenizer):
+    mine, calls = Encoder(tokenizer), []
+
+    class Counted:
+        def tokenize(self, text, model=mine.model):
+            calls.append(text)
+            return model.tokenize(text)
+
+    mine.model = Counted()
+    rng = np.random.default_rng(5)
+    words = {"".join(rng.choice([*"abcdefgé"], 9)) for _ in range(2000)}
+    text = "x " + " ".join([*words, *words])
+    first, _ = mine.encode_all(pa.array([text, "", text]))
+    assert len(calls) <= 2 + len(words) / TOGETHER
+    ids = Tokenizer.from_file(tokenizer).encode(text, add_special_tokens=False).ids
+    assert first.tolist() == ids + ids
+    calls.clear()
+    assert mine.encode_all(pa.array([text]))[0].tolist() == ids and not calls
+
+
+def test_slices_bring_every_row_once(monkeypatch):
+    monkeypatch.setattr(token_store, "SLICE", 10)
+    texts = ["", "é" * 30, "", "a" * 4, "b" * 4, "c" * 4, "", "d" * 11, ""]
+    found = list(token_store._slices(pa.array(range(len(texts))), pa.array(texts)))
+    assert [t for _, part in found for t in part.to_pylist()] == texts and [i for ids, _ in found for i in ids.to_pylist()] == list(range(len(texts)))
+    assert all(len(part) == 1 or sum(len(t.encode()) for t in part.to_pylist()) <= 10 for _, part in found) and len(found) < len(texts)
+    assert list(token_store._slices(pa.array([], pa.int64()), pa.array([], pa.string()))) == []
+
+
 def test_round_trip_and_single_storage(spark, tokenizer, tmp_path):
     rng = np.random.default_rng(2)
     words = ["alpha", "beta,", "Gamma", "naïve", "delta\n"]
